@@ -1,0 +1,22 @@
+"""Joins across collections."""
+
+from __future__ import annotations
+
+from quillstone.plans.registry import query
+from quillstone.plans.tables import sql
+
+
+@query(
+    "join_left_group",
+    """SELECT c_custkey, c_name, count(o_orderkey) AS order_count
+       FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name""",
+)
+def join_left_group(spark, sf_dir):
+    return sql(
+        spark,
+        sf_dir,
+        """SELECT c_custkey, c_name, count(o_orderkey) AS order_count
+           FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey, c_name""",
+        "customer",
+        "orders",
+    )
