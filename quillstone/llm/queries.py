@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from quillstone.llm.decontamination import OP5_SQL, op5_decontamination
 from quillstone.llm.mixing import OP2_SQL, op2_mixing
 from quillstone.llm.sharding import op10_sharding
+from quillstone.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op5_decontamination": op5_decontamination,
+    "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
 }
 
 SQL = {
     "op2_mixing": OP2_SQL,
+    "op5_decontamination": OP5_SQL,
+    "op9_warc": OP9_SQL,
 }
