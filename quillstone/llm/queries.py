@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillstone.llm.decontamination import OP5_SQL, op5_decontamination
+from quillstone.llm.lm_scoring import op8_lm_scoring
 from quillstone.llm.mixing import OP2_SQL, op2_mixing
 from quillstone.llm.sharding import op10_sharding
 from quillstone.llm.warc import OP9_SQL, op9_warc
@@ -10,6 +11,7 @@ from quillstone.llm.warc import OP9_SQL, op9_warc
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_decontamination": op5_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
 }

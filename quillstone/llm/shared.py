@@ -30,10 +30,18 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    The shuffle files of the job go as soon as it ends, as nothing reads them again.
+    """
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = shared_path(spark, label), spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
