@@ -7,11 +7,13 @@ from quillstone.llm.language_id import op4_language_id
 from quillstone.llm.lm_scoring import op8_lm_scoring
 from quillstone.llm.mixing import OP2_SQL, op2_mixing
 from quillstone.llm.near_duplicates import op7_near_duplicates
+from quillstone.llm.secrets import op1_secrets
 from quillstone.llm.sharding import op10_sharding
 from quillstone.llm.toxicity import op6_toxicity
 from quillstone.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
