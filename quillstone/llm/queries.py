@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillstone.llm.decontamination import OP5_SQL, op5_decontamination
+from quillstone.llm.flac import op3_flac
 from quillstone.llm.language_id import op4_language_id
 from quillstone.llm.lm_scoring import op8_lm_scoring
 from quillstone.llm.mixing import OP2_SQL, op2_mixing
@@ -15,6 +16,7 @@ from quillstone.llm.warc import OP9_SQL, op9_warc
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
+    "op3_flac": op3_flac,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
