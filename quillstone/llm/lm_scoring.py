@@ -7,7 +7,8 @@ training documents of one remainder, each with its own counts deleted from the t
 Counts cover every training document. Documents are dealt by hash into blocks of bounded size. A block sends each
 distinct n-gram it holds once, as sorted delta-coded hashes, to the range of hashes that the n-gram falls into; a range
 sums the counts of all blocks and answers each block for the n-grams that other blocks hold as well (a block knows the
-rest itself). No task holds more than one block or one range. Words and n-grams are 64-bit hashes.
+rest itself). No task holds more than one block or one range. Words are 64-bit hashes; pairs are hashes of so many bits
+that about one in a million shares its hash with another.
 
 Edge cases: null texts are empty and have one token, the end; a null doc_id counts as the empty text in the CRC; with
 no training document every probability is the uniform share; repeated rows count each time; an empty table gives an
@@ -97,19 +98,19 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return every, out
 
 
-def _block(t: pa.Table) -> tuple[int, tuple, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def _block(t: pa.Table, mask: int) -> tuple[int, tuple, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     block = t.column("block")[0].as_py()
     h, before, row = tokens_of(t.column("text").combine_chunks() if t.num_rows else t.column("text"))
-    pairs = pair_keys(before, h)
+    pairs = pair_keys(before, h) & U(mask)
     train = np.full(len(h), block % FOLDS != HELD_OUT)
     return block, (h, before, row, pairs), _counted(h, train), _counted(pairs, train)
 
 
-def _asker(ranges: int) -> Callable[[pa.Table], pa.Table]:
+def _asker(ranges: int, mask: int) -> Callable[[pa.Table], pa.Table]:
     """Of a block's documents: its distinct words and pairs with their counts, a message for each range and kind."""
 
     def ask(t: pa.Table) -> pa.Table:
-        block, _, ones, twos = _block(t)
+        block, _, ones, twos = _block(t, mask)
         out: dict[str, list] = {c.split()[0]: [] for c in _MESSAGE.split(", ")}
         for n, (keys, counts) in ((1, ones), (2, twos)):
             cut = np.searchsorted((keys >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1, dtype=np.uint64))
@@ -196,11 +197,11 @@ def _level(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _held_out_cells(total_tokens: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+def _held_out_cells(total_tokens: int, mask: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     """Of a block of deleted documents: how many tokens have each (bucket, level of the pair's share, level of the word's), with the document's own counts deleted."""
 
     def cells(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        _, (h, before, row, pairs), ones, twos = _block(docs)
+        _, (h, before, row, pairs), ones, twos = _block(docs, mask)
         (words, c1), (keys, c2) = _totals(ones, twos, answers)
         ids = np.searchsorted(words, h)
         length = np.bincount(row)[row]
@@ -253,9 +254,9 @@ def learn_weights(cells: list[tuple[int, int]], vocabulary: int, rounds: int = E
     return out
 
 
-def _scorer(total_tokens: int, vocabulary: int, weights: np.ndarray) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+def _scorer(total_tokens: int, vocabulary: int, weights: np.ndarray, mask: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def score(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block, (h, before, row, pairs), ones, twos = _block(docs)
+        block, (h, before, row, pairs), ones, twos = _block(docs, mask)
         (words, c1), (keys, c2) = _totals(ones, twos, answers)
         ids = np.searchsorted(words, h)
         word, context = c1[ids], _context(before, words, c1, ids)
@@ -288,10 +289,12 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_keys:
     text = F.coalesce("text", F.lit(""))
     size = int(docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0)
     blocks = 1 + size // (block_bytes * FOLDS)  # of each remainder
+    bits = min(64, 20 + max(1, size // 6).bit_length())
+    mask = (1 << 64) - (1 << (64 - bits))
     ranges = 1 + size // (6 * range_keys)  # about six bytes a token
     fold = crc_remainder(F.col("doc_id"), FOLDS)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)) * FOLDS + fold).cast("long").alias("block"))
-    asked = dealt.groupBy("block").applyInArrow(_asker(ranges), _MESSAGE)
+    asked = dealt.groupBy("block").applyInArrow(_asker(ranges, mask), _MESSAGE)
     answers = settle(asked.groupBy("n", "part").applyInArrow(_answer, _MESSAGE), "lm-counts")
     vocabulary = total = 0
     for r in answers.where("kind = 1 AND n = 1").select("counts").toLocalIterator():
@@ -299,10 +302,10 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_keys:
         vocabulary, total = vocabulary + int(found), total + int(tokens)
     counts = answers.where("kind = 0").select("block", "n", "hashes", "counts")
     deleted = f"block % {FOLDS} = {DELETED}"
-    cells = dealt.where(deleted).groupBy("block").cogroup(counts.where(deleted).groupBy("block")).applyInArrow(_held_out_cells(total), "cell long, tokens long")
+    cells = dealt.where(deleted).groupBy("block").cogroup(counts.where(deleted).groupBy("block")).applyInArrow(_held_out_cells(total, mask), "cell long, tokens long")
     # At most BUCKETS * 242 * 242 cells, whatever the input.
     weights = learn_weights([(r[0], r[1]) for r in cells.groupBy("cell").agg(F.sum("tokens")).collect()], vocabulary)
-    return dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scorer(total, vocabulary, weights), _SCORES)
+    return dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scorer(total, vocabulary, weights, mask), _SCORES)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
