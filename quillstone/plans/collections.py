@@ -1,0 +1 @@
+"""Queries over document collections (filled in below the store layer)."""

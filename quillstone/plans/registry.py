@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstone.plans.tables import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
-_MODULES = ("join_plans",)
+_MODULES = ("joins", "aggregates", "windows", "sorting", "sets", "scalars", "json_arrays", "events", "collections")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -27,6 +29,24 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def both(name: str, text: str, *tables: str) -> None:
+    """Registers one SQL text that Spark and DuckDB read alike; tables stand in it as {name}."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
+
+    query(name, text.format(**{t: t for t in tables}))(run)
+
+
+def pair(name: str, spark_text: str, oracle: str | None, *tables: str) -> None:
+    """As both(), for texts that differ between the dialects."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(spark_text, **{t: table(spark, sf_dir, t) for t in tables})
+
+    query(name, oracle)(run)
+
+
 def _load() -> None:
     for module in _MODULES:
         importlib.import_module(f"quillstone.plans.{module}")
