@@ -84,6 +84,6 @@ pair(
 )
 def vec_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    one = vectors.where("vec_id = 0").select("embedding").scalar()
-    scored = vectors.select("vec_id", cosine(F.col("embedding"), one).alias("s"))
+    one = vectors.where("vec_id = 0").select("embedding").first()
+    scored = vectors.select("vec_id", cosine(F.col("embedding"), F.array(*[F.lit(x) for x in (one[0] if one else [])])).alias("s"))
     return scored.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("similarity"))

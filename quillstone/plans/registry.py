@@ -12,7 +12,7 @@ from quillstone.plans.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
-_MODULES = ("joins", "aggregates", "windows", "sorting", "sets", "scalars", "json_arrays", "events", "collections")
+_MODULES = ("joins", "aggregates", "windows", "sorting", "sets", "scalars", "json_arrays", "events", "documents")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
