@@ -59,8 +59,8 @@ def _equals(found: Column, path: str, value: Any, strict: bool, doc: str) -> Col
     if isinstance(value, int):
         wanted = F.lit(str(value)).cast("decimal(38,0)") if abs(value) < 10**38 else F.lit(float(value))
         whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$")
-        if strict:
-            return whole & (field(path, "decimal(38,0)", doc) == wanted)
+        if strict:  # 30.0 is a short DECIMAL without places, an integer beyond 64 bits a long one
+            return ((kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$")) & (field(path, "decimal(38,0)", doc) == wanted)
         return F.when(whole, field(path, "decimal(38,0)", doc) == wanted).when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), field(path, "double", doc) == F.lit(float(value)))
     if isinstance(value, float):
         number = kind.rlike("^(DECIMAL|DOUBLE|FLOAT)" if strict else "^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
