@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.llm.shared import bucket_count, drop_clashing, running_sum, settle, table, unit_hash
+from quillstone.llm.shared import bucket_count, row_keys, running_sum, settle, table, unit_hash
 
 SOURCE_WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -86,6 +86,15 @@ def with_quality(df: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumn("_quality", F.when(F.col("_best") == 1, GOOD).when(F.col("_best") == 0, BAD).otherwise(UNLABELLED)).drop("_id", "_best")
 
 
+def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, each row as often as the mix takes it. Texts move once, to meet the decisions."""
+    keyed = row_keys(docs)
+    narrow = settle(with_quality(keyed.select("_file", "_row", "doc_id", "source", word_count(F.col("text")).alias("_words")), labels), "mix")
+    taken = mix(narrow, F.col("_quality"), size=F.col("_words")).where("copies > 0").select("_file", "_row", F.col("copies").alias("_copies"))
+    copied = keyed.join(settle(taken, "mix-taken"), ["_file", "_row"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return copied.select(*docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("_words"))
     narrow = settle(with_quality(docs, table(spark, sf_dir, "labels")), "mix")

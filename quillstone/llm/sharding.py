@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import bucket_count, drop_clashing, running_sum, table, unit_hash
+from quillstone.llm.shared import bucket_count, drop_clashing, row_keys, running_sum, settle, table, unit_hash
 
 SHARDS = 24
 SEED = 17
@@ -42,6 +42,15 @@ def interleave(df: DataFrame, shards: int = SHARDS, tie: Column | None = None, s
     return placed.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("_place") - F.expr(f"(shard * bigint({total}) + {shards - 1}) div {shards}")).cast("long")).select(*df.columns, "shard", "slot")
 
 
+def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """docs with shard and slot. Texts move once, to meet their places."""
+    keyed = row_keys(drop_clashing(docs, ["shard", "slot"]))
+    tie = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("_tie")
+    narrow = settle(keyed.select("_file", "_row", "doc_id", "source", tie), "shard-rows")
+    places = interleave(narrow, shards, tie=F.col("_tie")).select("_file", "_row", "shard", "slot")
+    return keyed.join(settle(places, "shard-places"), ["_file", "_row"]).drop("_file", "_row")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     narrow = table(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,6 +45,18 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(df: DataFrame) -> DataFrame:
+    """df with _file and _row, which name each row of its files; a df that is no plain scan of Parquet is settled first.
+
+    Decisions made on narrow columns then reach their wide rows by one join, repeated rows included.
+    """
+    base = drop_clashing(df, ["_file", "_row"])
+    try:
+        return base.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return settle(base, "rows").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns that an operator is about to add (any case), so that extra input columns never clash."""
     taken = {n.lower() for n in names}
