@@ -31,14 +31,12 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    scored = mixing.with_quality(docs, table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(scored, F.col("_quality")).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds shard and slot; every shard has the sources in the proportions of the whole."""
-    return sharding.interleave(docs)
+    return sharding.sharded_documents(docs)
 
 
 STAGES = [
