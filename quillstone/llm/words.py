@@ -23,6 +23,7 @@ _powers: dict[str, np.ndarray] = {}
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 SPACED = _lower.copy()  # words [^\x20\x09-\x0D]+
+SPACED[0] = 0xFF  # a byte that UTF-8 doesn't use, as byte 0 is part of words here
 SPACED[[0x20, 9, 10, 11, 12, 13]] = 0
 LETTERED = np.where((_lower >= 0x80) | ((_lower >= 48) & (_lower <= 57)) | ((_lower >= 97) & (_lower <= 122)), _lower, 0).astype(np.uint8)
 
