@@ -34,12 +34,13 @@ def merge(base: DataFrame, changes: DataFrame, key: str, order: str) -> DataFram
 
 
 def with_positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """df, sorted, and _pos: 0, 1, 2, ... in that order.
+    """df, sorted, and _pos: 0, 1, 2, ... in that order; without order, in the order of its partitions and their rows.
 
     Range-partitioned and sorted once and kept; each partition's count gives the next one's first position, so no task
     sees all rows.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()).persist()
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    placed = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()).persist()
     counts = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())  # one row a partition
     first, total = {}, 0
     for part, n in counts:

@@ -169,6 +169,12 @@ class Collection:
         """JSON text of each live document."""
         return self.documents().select("_raw")
 
+    def preload(self) -> DataFrame:
+        """documents(), kept in memory and on disk until unpersisted; later reads of the frame don't parse again."""
+        kept = self.documents().persist()
+        kept.count()
+        return kept
+
     def typed(self, schema: T.StructType | str | None = None, json_strings: bool = False) -> DataFrame:
         """A column for each top-level key and _id last; the schema is inferred from all documents unless given."""
         docs = self.documents()
@@ -252,8 +258,7 @@ class Collection:
         self.flush()
         if id_column is None:
             columns = df.columns
-            numbered = df.rdd.zipWithIndex().map(lambda p: (*p[0], p[1])).toDF(T.StructType([*df.schema.fields, T.StructField("_n", T.LongType())])) if columns else df
-            named = numbered.withColumn("_key", F.format_string(f"{id_prefix}%0{digits}d", "_n"))
+            named = with_positions(df, []).withColumn("_key", F.format_string(f"{id_prefix}%0{digits}d", "_pos"))
         else:
             columns = [c for c in df.columns if c != "_id"]
             named = df.withColumn("_key", F.col(id_column).cast("string"))

@@ -211,3 +211,13 @@ def test_lock(root):
         other = Root(root.spark, root.path)
         with other.write_lock(wait=0.2):
             pass
+
+
+def test_exports_and_preload(people):
+    import quillstone
+
+    assert quillstone.Eq("age", 25).column() is not None and quillstone.backend().startswith("spark")
+    assert all(hasattr(quillstone, n) for n in quillstone.__all__)
+    kept = people.preload()
+    assert kept.is_cached and kept.count() == 3
+    kept.unpersist()
