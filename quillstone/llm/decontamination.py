@@ -8,8 +8,8 @@ some item can match, so those are found first, vectorised, and the rest is skipp
 Items are dealt into blocks of bounded size; each block's automaton passes over all documents in turn, so neither the
 driver nor a task holds more than one block however large the benchmark grows.
 
-Edge cases: null or empty texts have no words and no hits; items without words are never found; repeated items and
-documents count as they stand; no items, or no documents, give no hits; input columns named like an added one are
+Edge cases: null or empty texts have no words and no hits; items without words are never found; words that only items
+of null id hit are hit, though no item is named; repeated items and documents count as they stand; no items, or no documents, give no hits; input columns named like an added one are
 replaced.
 """
 
@@ -29,6 +29,7 @@ from quillstone.llm.words import LETTERED, hash_words, row_blocks, string_buffer
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
 COVERAGE = 0.8
+_NO_ID = -(1 << 63)  # stands for a null item_id
 _FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.LongType())), T.StructField("hit_items", T.ArrayType(T.LongType()))])
 
 
@@ -189,7 +190,7 @@ def _finder(items: list[tuple[int, str]], window: int) -> Callable[[Iterator[pa.
             if "hit_spans" in names:
                 spans, hits = batch.column(names.index("hit_spans")).to_pylist(), batch.column(names.index("hit_items")).to_pylist()
             for r, (s, i) in found.items():
-                spans[r], hits[r] = _merged(spans[r], s), sorted({*hits[r], *i})
+                spans[r], hits[r] = _merged(spans[r], s), sorted({*hits[r], *i} - {_NO_ID})
             kept = [n for n in names if n not in ("n_words", "hit_spans", "hit_items")]
             cols = [batch.column(names.index(n)) for n in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(counts)), pa.array(spans, pa.list_(pa.int64())), pa.array(hits, pa.list_(pa.int64()))], names=[*kept, "n_words", "hit_spans", "hit_items"])
@@ -203,7 +204,7 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[li
     blocks = 1 + int((sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
     for k in range(blocks):
         part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield [(r[0], r[1]) for r in part.collect()]
+        yield [(_NO_ID if r[0] is None else r[0], r[1]) for r in part.collect()]
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -211,7 +212,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_byt
     out = drop_clashing(docs, _FOUND.names)
     schema = T.StructType([*out.schema.fields, *_FOUND.fields])
     for block in item_blocks(items, block_bytes):
-        out = out.mapInArrow(_finder([(i, t) for i, t in block if i is not None], window), schema)
+        out = out.mapInArrow(_finder(block, window), schema)
     return out
 
 
@@ -261,7 +262,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     out = docs
     blocks = list(item_blocks(items, block_bytes))
     for block in blocks if len(blocks) == 1 else blocks * 2:  # with several blocks, a later one's cut can join an earlier one's passage
-        out = out.mapInArrow(_cutter([(i, t) for i, t in block if i is not None], window, coverage), docs.schema)
+        out = out.mapInArrow(_cutter(block, window, coverage), docs.schema)
     return out
 
 
@@ -271,7 +272,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.expr("aggregate(sequence(1, size(hit_spans) div 2), 0L, (n, i) -> n + hit_spans[2 * i - 1] - hit_spans[2 * i - 2])")
     n_hit = F.when(F.size("hit_spans") > 0, pairs).otherwise(F.lit(0)).cast("long")
     ids = F.array_join(F.array_sort(F.transform("hit_items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("items_sha256"), (F.size("hit_items") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
 
 
 OP5_SQL = r"""

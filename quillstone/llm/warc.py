@@ -93,7 +93,12 @@ def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 size, records = size + len(member), records + 1
         if out is not None:  # a task that runs again writes the same file again; the move makes it appear whole or not at all
             out.close()
-            store.move(attempt, path)
+            try:
+                store.move(attempt, path)
+            except OSError:
+                if store.get_file_info(path).type != fs.FileType.File:
+                    raise
+                store.delete_file(attempt)  # another attempt was first; its records are the same
             yield pa.RecordBatch.from_pydict({"archive": [path.rsplit("/", 1)[1]], "bytes": pa.array([size], pa.int64()), "records": pa.array([records], pa.int64())})
 
     return write

@@ -80,6 +80,13 @@ def test_decontaminate(spark, make):
         assert "before" in got[n + 1] and "after" in got[n + 1]
 
 
+def test_items_without_id(spark, make):
+    text = " ".join(f"t{i}" for i in range(12))
+    got = d.find_hits(make([f"x {text} y"]), spark.createDataFrame([(None, text)], "item_id long, text string")).first()
+    assert got["hit_spans"] == [1, 13] and got["hit_items"] == []
+    assert d.decontaminate(make([f"{'x ' * 9}{text} y"]), spark.createDataFrame([(None, text)], "item_id long, text string")).first()["text"] == "x " * 9 + " y"
+
+
 def test_odd(spark, make, odd_rows):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert d.find_hits(make(odd_rows), empty).where("size(hit_items) > 0").count() == 0
