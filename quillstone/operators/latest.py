@@ -10,20 +10,21 @@ def latest(versions: DataFrame, deletes: bool = True) -> DataFrame:
     """One row for each live _id: its newest doc and _raw, and _ord of its first version (since its last deletion).
 
     A filter on the result runs after the choice, so an old version never comes back; filters on _id alone are pushed
-    below it. deletes=False says that no version is a deletion, which saves gathering each id's orders.
+    below it. deletes=False says that no version is a deletion, which saves gathering each id's orders. Only the text of a
+    version is shuffled; the VARIANT is read from it again afterwards, where it is used.
     """
     if not deletes:
-        one = versions.groupBy("_id").agg(F.max_by(F.struct("doc", "_raw"), "_ord").alias("_new"), F.min("_ord").alias("_ord"))
-        return one.select("_id", "_new.doc", "_new._raw", "_ord")
+        one = versions.groupBy("_id").agg(F.max_by("_raw", "_ord").alias("_raw"), F.min("_ord").alias("_ord"))
+        return one.select("_id", F.parse_json("_raw").alias("doc"), "_raw", "_ord")
     gone = F.max(F.when(F.col("_kind") == "delete", F.col("_ord")))
     grouped = versions.groupBy("_id").agg(
-        F.max_by(F.struct("doc", "_raw", "_kind"), "_ord").alias("_new"),
+        F.max_by(F.struct("_raw", "_kind"), "_ord").alias("_new"),
         gone.alias("_gone"),
         F.min("_ord").alias("_least"),
         F.collect_list(F.when(F.col("_kind") != "delete", F.col("_ord"))).alias("_all"),
     )
     since = F.array_min(F.filter("_all", lambda o: o > F.col("_gone")))
-    return grouped.where("_new._kind != 'delete'").select("_id", "_new.doc", "_new._raw", F.when(F.col("_gone").isNull(), F.col("_least")).otherwise(since).alias("_ord"))
+    return grouped.where("_new._kind != 'delete'").select("_id", F.parse_json("_new._raw").alias("doc"), "_new._raw", F.when(F.col("_gone").isNull(), F.col("_least")).otherwise(since).alias("_ord"))
 
 
 def merge(base: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:

@@ -382,6 +382,11 @@ def sql_qualify(spark, sf_dir):
     return _orders(spark, sf_dir).query("SELECT o_custkey, o_orderkey FROM data QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1")
 
 
+@register("sql_distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+def sql_distinct_on(spark, sf_dir):
+    return _orders(spark, sf_dir).query("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM data WHERE o_orderstatus <> 'P' ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+
+
 @register("aggregate_helper", "SELECT p_brand, round(sum(p_retailprice), 2) AS total FROM part GROUP BY p_brand")
 def aggregate_helper(spark, sf_dir):
     root = stored(spark, part=(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_partkey"))

@@ -221,3 +221,11 @@ def test_exports_and_preload(people):
     kept = people.preload()
     assert kept.is_cached and kept.count() == 3
     kept.unpersist()
+
+
+def test_tuned_session(spark):
+    from quillstone.session import tuned
+
+    own = tuned(spark.newSession(), 10 << 30)
+    assert int(own.conf.get("spark.sql.shuffle.partitions")) == 80
+    assert int(tuned(spark.newSession(), 0).conf.get("spark.sql.shuffle.partitions")) == spark.sparkContext.defaultParallelism
