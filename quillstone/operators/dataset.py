@@ -122,7 +122,7 @@ class MapDataset:
         """Exact parts of a shuffle, by rounded shares; the last takes the rest."""
         shuffled, n, parts, at = self.shuffle(seed), len(self), [], 0
         for i, share in enumerate(shares):
-            upto = n if i == len(shares) - 1 else min(n, at + round(n * share))
+            upto = n if i == len(shares) - 1 else min(n, at + int(n * share + 0.5))
             parts.append(shuffled.skip(at).take(upto - at))
             at = upto
         return parts

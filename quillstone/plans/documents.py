@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone import layout
@@ -63,15 +63,20 @@ def register(name: str, oracle: str | None = None) -> Callable:
     return keep
 
 
-_NAME = field("c_name", "string").alias("c_name")
-_KEY = field("c_custkey", "bigint").alias("c_custkey")
+def _name() -> Column:
+    return field("c_name", "string").alias("c_name")
+
+
+def _key() -> Column:
+    return field("c_custkey", "bigint").alias("c_custkey")
+
 
 # Scans
 
 
 @register("scan_filter_project", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7")
 def scan_filter_project(spark, sf_dir):
-    return _customers(spark, sf_dir).where(And([Eq("c_mktsegment", "BUILDING"), Eq("c_nationkey", 7)]).column()).select(_KEY, _NAME)
+    return _customers(spark, sf_dir).where(And([Eq("c_mktsegment", "BUILDING"), Eq("c_nationkey", 7)]).column()).select(_key(), _name())
 
 
 @register("scan_all", "SELECT CAST(p_partkey AS VARCHAR) AS _id, p_name, CAST(p_size AS BIGINT) AS p_size FROM part")
@@ -128,7 +133,7 @@ def read_tvf_join(spark, sf_dir):
 
 @register("scan_limit", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 15")
 def scan_limit(spark, sf_dir):
-    return _customers(spark, sf_dir).orderBy("_ord").limit(15).select(_KEY, _NAME)
+    return _customers(spark, sf_dir).orderBy("_ord").limit(15).select(_key(), _name())
 
 
 @register("merge_collections", "SELECT 'a_' || r_regionkey AS _id, r_name, NULL::VARCHAR AS n_name FROM region UNION ALL SELECT 'b_' || n_nationkey, NULL, n_name FROM nation")
@@ -149,18 +154,18 @@ def etl_filter_transform(spark, sf_dir):
 
 @register("get_by_id", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")
 def get_by_id(spark, sf_dir):
-    return _customers(spark, sf_dir).where("_id = '42'").select(_KEY, _NAME)
+    return _customers(spark, sf_dir).where("_id = '42'").select(_key(), _name())
 
 
 @register("multi_get", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (3, 5, 8, 13, 21, 34, 55, 89, 144)")
 def multi_get(spark, sf_dir):
     wanted = spark.createDataFrame([(str(i),) for i in (3, 5, 8, 13, 21, 34, 55, 89, 144, 10**9)], "_id string")
-    return _customers(spark, sf_dir).join(wanted, "_id", "left_semi").select(_KEY, _NAME)
+    return _customers(spark, sf_dir).join(wanted, "_id", "left_semi").select(_key(), _name())
 
 
 @register("get_at", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 1 OFFSET 17")
 def get_at(spark, sf_dir):
-    return _customers(spark, sf_dir).orderBy("_ord").offset(17).limit(1).select(_KEY, _NAME)
+    return _customers(spark, sf_dir).orderBy("_ord").offset(17).limit(1).select(_key(), _name())
 
 
 @register("exists_semi", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
@@ -258,17 +263,17 @@ def canonical_json(spark, sf_dir):
 
 @register("ds_slice", "SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) AS pos FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer) WHERE p >= 10 AND p < 60 AND (p - 10) % 5 = 0")
 def ds_slice(spark, sf_dir):
-    return _dataset(spark, sf_dir).slice(slice(10, 60, 5)).df.select(_KEY, F.col("_pos").alias("pos"))
+    return _dataset(spark, sf_dir).slice(slice(10, 60, 5)).df.select(_key(), F.col("_pos").alias("pos"))
 
 
 @register("ds_select", "SELECT c_custkey, new AS pos FROM (VALUES (0, 5), (1, 2), (2, 5), (3, 99)) AS w(new, old) JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer) ON p = old")
 def ds_select(spark, sf_dir):
-    return _dataset(spark, sf_dir).select([5, 2, 5, 99]).df.select(_KEY, F.col("_pos").cast("int").alias("pos"))
+    return _dataset(spark, sf_dir).select([5, 2, 5, 99]).df.select(_key(), F.col("_pos").cast("int").alias("pos"))
 
 
 @register("ds_shuffle", "SELECT c_custkey FROM customer")
 def ds_shuffle(spark, sf_dir):
-    return _dataset(spark, sf_dir).shuffle(7).df.select(_KEY)
+    return _dataset(spark, sf_dir).shuffle(7).df.select(_key())
 
 
 @register("ds_map", "SELECT CAST(c_custkey AS VARCHAR) AS _id, upper(c_name) AS name, c_nationkey * 10 AS score FROM customer")
@@ -283,17 +288,17 @@ def ds_map_python(spark, sf_dir):
 
 @register("ds_filter", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer WHERE c_nationkey = 4")
 def ds_filter(spark, sf_dir):
-    return _dataset(spark, sf_dir).filter({"c_nationkey": 4}).df.select(_KEY, F.col("_pos").alias("pos"))
+    return _dataset(spark, sf_dir).filter({"c_nationkey": 4}).df.select(_key(), F.col("_pos").alias("pos"))
 
 
 @register("ds_take", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 12")
 def ds_take(spark, sf_dir):
-    return _dataset(spark, sf_dir).take(12).df.select(_KEY)
+    return _dataset(spark, sf_dir).take(12).df.select(_key())
 
 
 @register("ds_skip", "SELECT c_custkey FROM customer ORDER BY c_custkey OFFSET 100")
 def ds_skip(spark, sf_dir):
-    return _dataset(spark, sf_dir).skip(100).df.select(_KEY)
+    return _dataset(spark, sf_dir).skip(100).df.select(_key())
 
 
 @register("ds_batch", "SELECT (row_number() OVER (ORDER BY c_custkey) - 1) // 64 AS batch, c_custkey FROM customer")

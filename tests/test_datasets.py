@@ -45,7 +45,7 @@ def test_features_and_split(rows):
     assert rows.dataset().features == {"id": "int64", "name": "string", "category": "string", "score": "int64"}
     assert features_of(rows.typed().schema) == {"category": "string", "id": "int64", "name": "string", "score": "int64", "_id": "string"}
     parts = rows.dataset().split(0.7, 0.15, 0.15, seed=4)
-    assert [len(p) for p in parts] == [21, 4, 5]
+    assert [len(p) for p in parts] == [21, 5, 4]
     assert sorted(d["id"] for p in parts for d in p) == list(range(30))
 
 
