@@ -52,7 +52,7 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, ca
     return level.withColumn("target", F.least(F.col("_limit"), F.coalesce(first_free * F.col("_w"), F.col("_limit")))).select("_group", F.col("_total").alias("source_size"), "target")
 
 
-def mix(df: DataFrame, quality: Column | None = None, weights: tuple[int, ...] = SOURCE_WEIGHTS, cap: int = CAP, seed: int = SEED, rows_per_slice: int = 2048, size: Column | None = None) -> DataFrame:
+def mix(df: DataFrame, quality: Column | None = None, weights: tuple[int, ...] = SOURCE_WEIGHTS, cap: int = CAP, seed: int = SEED, rows_per_slice: int = 256, size: Column | None = None) -> DataFrame:
     """df (with doc_id, source, and text unless size is given) and size, source_size, target, copies (how often the mix takes the document), taken (words).
 
     quality: a positive sampling weight of each document, all 1 if not given.

@@ -21,7 +21,7 @@ SEED = 17
 _OWN = ["shard", "slot", "_group", "_u", "_crc", "_rank", "_n", "_frac", "_place", "_total", "_slot", "_value", "_inside", "_start"]
 
 
-def interleave(df: DataFrame, shards: int = SHARDS, tie: Column | None = None, seed: int = SEED, rows_per_slice: int = 2048) -> DataFrame:
+def interleave(df: DataFrame, shards: int = SHARDS, tie: Column | None = None, seed: int = SEED, rows_per_slice: int = 256) -> DataFrame:
     """df (with doc_id, source) and two columns: shard int, slot long (gapless from 0 in each shard).
 
     tie: orders rows of one doc_id; the CRC of text if not given.

@@ -70,7 +70,7 @@ def unit_hash(*cols: Column, seed: int) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def bucket_count(rows: int, per_bucket: int = 2048, most: int = 1 << 16) -> int:
+def bucket_count(rows: int, per_bucket: int = 256, most: int = 1 << 16) -> int:
     """How many slices keep the rows of one slice near per_bucket, a power of two."""
     n = 1
     while n < most and n * per_bucket < rows:
