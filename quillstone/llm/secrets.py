@@ -2,7 +2,7 @@
 
 A text is layer 0. Every layer is scanned for secrets, then unwrapped: lines with URL or Unicode escapes, base64 runs
 that decode to text (UTF-8 or UTF-16) or to gzip or zlib data, whose content is inflated. Each result is a new layer
-unless its content was seen in this text before, which ends cycles; the worklist runs until no layer is left. Every
+unless the same content from the same places was seen before, which ends cycles; the worklist runs until no layer is left. Every
 character of a layer knows the stretch of the original text it came from, so spans always refer to the original.
 Inflated content is scanned in windows that overlap, so a small text can't fill the memory.
 
@@ -19,6 +19,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -174,10 +175,20 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
         yield s, a, b, f"{path}/base64"
 
 
+def _identity(layer: Layer) -> tuple[bytes, bytes]:
+    """Names a layer's content and the places it came from; equal layers hold equal spans."""
+    s, starts, ends, _ = layer
+    if starts[:1] == starts[-1:] and ends[:1] == ends[-1:]:  # inflated: one place for all (places never fall)
+        starts, ends = starts[:1], ends[:1]
+    places = hashlib.sha256(array("q", starts))
+    places.update(array("q", ends))
+    return hashlib.sha256(s.encode(errors="surrogatepass")).digest(), places.digest()
+
+
 def secrets_in(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, path) of all secrets, sorted by start, kind and end; path is empty for those of the text itself."""
     found: dict[tuple[int, int, int], str] = {k: "" for k in scan(text)}
-    seen = {hashlib.sha256(text.encode(errors="surrogatepass")).digest()}
+    seen: set[tuple[bytes, bytes]] = set()
     todo = [_unwrapped((text, None, None, ""))]
     while todo:
         layer = next(todo[-1], None)
@@ -185,7 +196,7 @@ def secrets_in(text: str) -> list[tuple[int, int, int, str]]:
             todo.pop()
             continue
         s, starts, ends, path = layer
-        key = hashlib.sha256(s.encode(errors="surrogatepass")).digest()
+        key = _identity(layer)
         if key in seen:
             continue
         seen.add(key)
