@@ -1,18 +1,21 @@
-"""Language-model scores by deleted interpolation of word n-grams.
+"""Language-model scores by deleted interpolation of word trigrams.
 
-P(w | v) = l2(b) c(v w) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1), b the power-of-two bucket of the context's
-frequency c(v). The weights of each bucket come from expectation-maximisation on held-out counts: those of the
-training documents of one remainder, each with its own counts deleted from the totals.
+P2(w | v) = l2 c(v w) / c(v) + l1 c(w) / N + l0 / (V + 1) and P(w | u v) = l3 c(u v w) / c(u v) + (1 - l3) P2(w | v). The
+weights depend on the power-of-two bucket of the context's frequency, c(v) and c(u v). They come from
+expectation-maximisation on held-out counts: those of the training documents of one remainder, each with its own counts
+deleted from the totals.
 
-Counts cover every training document. Documents are dealt by hash into blocks of bounded size. A block sends each
-distinct n-gram it holds once, as sorted delta-coded hashes, to the range of hashes that the n-gram falls into; a range
-sums the counts of all blocks and answers each block for the n-grams that other blocks hold as well (a block knows the
-rest itself). No task holds more than one block or one range. Words are 64-bit hashes; pairs are hashes of so many bits
-that about one in a million shares its hash with another.
+Counts cover every training document. Equal texts are counted once, with their number of training rows. Long texts are
+cut between words into pieces; a piece carries the two words before it. Pieces are dealt by hash into blocks of bounded
+size, in a bucketed table, so that texts move once. A block sends each distinct n-gram it holds once, as sorted
+delta-coded 64-bit hashes, to the range of hashes that the n-gram falls into; a range sums the counts of all blocks and
+answers each block for the n-grams that other blocks hold as well (a block knows the rest itself). A block asks for a
+trigram only if other blocks hold both of its pairs; if not, its own count is the total. No task holds more than one
+block or one range.
 
 Edge cases: null texts are empty and have one token, the end; a null doc_id counts as the empty text in the CRC; with
-no training document every probability is the uniform share; repeated rows count each time; an empty table gives an
-empty table; other columns are ignored.
+no training document every probability is the uniform share; repeated rows count each time; of very long texts the
+held-out counts are deleted piece by piece; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,23 +27,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import settle, table
+from quillstone.llm.shared import bucketed, settle, table, to_rows
 from quillstone.llm.words import SPACED, U, hash_words, mix, row_blocks, string_buffers
 
 HELD_OUT, DELETED, FOLDS = 2, 3, 7
-BLOCK_BYTES = 8 << 20
-RANGE_KEYS = 1 << 21
+BLOCK_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+RANGE_KEYS = 1 << 19
+BUCKET_BYTES = 16 << 20
 EM_ROUNDS = 60
 BUCKETS = 40
 _STEPS = 4  # quantised probabilities a power of two, for the weights only
 _END, _START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-_MESSAGE = "block long, n int, part int, kind int, hashes binary, counts binary"
+_ASKED = "block long, n int, part long, hashes binary, counts binary"
+_ANSWERED = "block long, n int, hashes binary, counts binary, found long, tokens long"
+_PIECES = "node binary, piece int, skip int, last boolean, train long, deleted long, text string"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
 def crc_remainder(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(folds)).cast("int")
 
 
+def _table(rows: list[tuple], ddl: str) -> pa.Table:
+    schema = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in ddl.split(", ")])
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Whole numbers by byte planes: the high planes are zeros, which the shuffle's compression removes."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
@@ -60,129 +73,209 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(_unplanes(data, np.uint64), dtype=np.uint64)
 
 
-def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, the token before or the start, row) of every token of every text, ends included."""
+def pieces_of(text: bytes, most: int) -> list[tuple[int, bytes]]:
+    """(leading words that only give context, text) of each piece: whole words, about `most` bytes."""
+    out: list[tuple[int, bytes]] = []
+    at, before = 0, []
+    raw = np.frombuffer(text, np.uint8)
+    while at < len(text) or not out:
+        end = at + most
+        while end < len(text):
+            gaps = np.flatnonzero(SPACED[raw[end : end + 4096]] == 0)
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end += 4096
+        body = b" ".join([*before, text[at:end]])
+        out.append((len(before), body))
+        before, at = body.rsplit(None, 2)[-2:], end
+    return out
+
+
+def _splitter(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets = string_buffers(batch.column(3))
+            long = np.flatnonzero(np.diff(offsets) > most)
+            kept = batch if not len(long) else batch.filter(pa.array(np.diff(offsets) <= most))
+            n = kept.num_rows
+            zeros = pa.array(np.zeros(n, np.int32))
+            names = [c.split()[0] for c in _PIECES.split(", ")]
+            yield pa.RecordBatch.from_arrays([kept.column(0), zeros, zeros, pa.array(np.ones(n, bool)), kept.column(1), kept.column(2), kept.column(3)], names=names)
+            for r in long.tolist():
+                node, train, deleted = (batch.column(c)[r].as_py() for c in range(3))
+                parts = pieces_of(batch.column(3)[r].as_buffer().to_pybytes(), most)
+                for i, (skip, body) in enumerate(parts):
+                    yield _table([(node, i, skip, i == len(parts) - 1, train, deleted, body.decode())], _PIECES).to_batches()[0]
+
+    return split
+
+
+def tokens_of(column: pa.Array, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token, row) of every token of every text; the end of rows that are `last` included."""
     data, offsets = string_buffers(column)
     hs, rows = [], []
     for lo, hi in row_blocks(offsets):
         h, row, _, _ = hash_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACED)
+        ends = last[lo:hi].astype(np.int64)
         count = np.bincount(row, minlength=hi - lo)
-        out = np.full(len(h) + hi - lo, _END, np.uint64)
-        out[np.arange(len(h)) + row] = h
+        out = np.full(len(h) + ends.sum(), _END, np.uint64)
+        out[np.arange(len(h)) + (np.cumsum(ends) - ends)[row]] = h
         hs.append(out)
-        rows.append(np.repeat(np.arange(lo, hi), count + 1))
+        rows.append(np.repeat(np.arange(lo, hi), count + ends))
     if not hs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h, row = np.concatenate(hs), np.concatenate(rows)
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    first = np.ones(len(h), bool)
-    first[1:] = row[1:] != row[:-1]
-    before[first] = _START
-    return h, before, row
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hs), np.concatenate(rows)
 
 
 def pair_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(before * U(0x9E3779B97F4A7C15) + (h ^ (h >> U(29))))
 
 
-def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and their counts in training rows."""
-    if train.all():
-        found, counts = np.unique(keys, return_counts=True)
-        return found, counts.astype(np.uint32)
-    found, counts = np.unique(keys[train], return_counts=True)
-    every = np.unique(keys)
-    out = np.zeros(len(every), np.uint32)
-    out[np.searchsorted(every, found)] = counts
-    return every, out
-
-
-def _block(t: pa.Table, mask: int) -> tuple[int, tuple, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    block = t.column("block")[0].as_py()
-    h, before, row = tokens_of(t.column("text").combine_chunks() if t.num_rows else t.column("text"))
-    pairs = pair_keys(before, h) & U(mask)
-    train = np.full(len(h), block % FOLDS != HELD_OUT)
-    return block, (h, before, row, pairs), _counted(h, train), _counted(pairs, train)
-
-
-def _asker(ranges: int, mask: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a block's documents: its distinct words and pairs with their counts, a message for each range and kind."""
+def _distinct(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted; the place of each key among them; the sum of weights of each."""
+    found, place = np.unique(keys, return_inverse=True)
+    return found, place.astype(np.int32), np.bincount(place, weights=weights, minlength=len(found)).astype(np.int64)
+
+
+class _Block:
+    """The tokens of a block, its words, pairs and triples with their counts in training rows: those of the block, then of all once answered."""
+
+    def __init__(self, t: pa.Table):
+        t = t.combine_chunks()
+        col = lambda name: t.column(name).chunk(0) if t.num_rows else t.column(name).combine_chunks()
+        self.n = t.num_rows
+        self.block = col("block")[0].as_py()
+        self.nodes, self.deleted = col("node"), col("deleted").to_numpy()
+        h, self.row = tokens_of(col("text"), col("last").to_numpy(zero_copy_only=False))
+        count = np.bincount(self.row, minlength=self.n)
+        start = np.cumsum(count) - count
+        position = np.arange(len(h)) - start[self.row]
+        self.live = position >= col("skip").to_numpy()[self.row]
+        self.first = position == 0
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        before[self.first] = _START
+        weights = col("train").to_numpy()[self.row] * self.live
+        # The end is always among the words: its count is that of the start.
+        words, place, self.c1 = _distinct(np.append(h, _END), np.append(weights, 0))
+        self.words, self.word, self.end = words, place[:-1], int(place[-1])
+        self.pair_keys = pair_keys(before, h)
+        self.pairs, self.pair, self.c2 = _distinct(self.pair_keys, weights)
+        self.h, self.weights = h, weights
+        self.keys = {1: self.words, 2: self.pairs}
+        self.c3 = np.zeros(0, np.int64)
+
+    def learn(self, answers: pa.Table) -> None:
+        """Takes the totals of answers over."""
+        self.elsewhere = np.zeros(len(self.pairs), bool)
+        ns, hashes, counts = answers.column("n").to_pylist(), answers.column("hashes"), answers.column("counts")
+        if 3 in ns:
+            self.add_triples()
+        for i, n in enumerate(ns):
+            at = np.searchsorted(self.keys[n], _unpack(hashes[i].as_py()))
+            {1: self.c1, 2: self.c2, 3: self.c3}[n][at] = _unplanes(counts[i].as_py(), np.int64)
+            if n == 2:
+                self.elsewhere[at] = True
+
+    def add_triples(self) -> None:
+        if 3 in self.keys:
+            return
+        inside = np.flatnonzero(~self.first)
+        keys = pair_keys(self.pair_keys[inside - 1], self.h[inside])
+        triples, place, self.c3 = _distinct(keys, self.weights[inside])
+        self.keys[3] = triples
+        self.triple = np.full(len(self.h), -1, np.int32)
+        self.triple[inside] = place
+
+    def shared_triples(self) -> tuple[np.ndarray, np.ndarray]:
+        """Triples, with the block's counts, both of whose pairs other blocks hold too."""
+        self.add_triples()
+        elsewhere, inside = self.elsewhere, np.flatnonzero(~self.first)
+        inside = inside[elsewhere[self.pair[inside]] & elsewhere[self.pair[inside - 1]]]
+        some = np.unique(self.triple[inside])
+        return self.keys[3][some], self.c3[some]
+
+    def own(self, place: np.ndarray) -> np.ndarray:
+        """Of each token: how often its row holds its n-gram."""
+        _, inverse = np.unique(self.row.astype(np.int64) << 32 | place, return_inverse=True)
+        return np.bincount(inverse, weights=self.live)[inverse].astype(np.int64)
+
+    def shift(self, values: np.ndarray, at_start: int) -> np.ndarray:
+        """Of each token the value of the token before it."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = at_start
+        return out
+
+    def estimates(self, total: int, delete: bool) -> tuple[np.ndarray, ...]:
+        """c(u v), f3, c(v), f2, f1 of each token; with the row's own counts deleted if told so."""
+        word, pair = self.c1[self.word], self.c2[self.pair]
+        if delete:
+            own_word, own_pair = self.own(self.word), self.own(self.pair)
+            length = np.bincount(self.row, weights=self.live, minlength=self.n)[self.row]
+        else:
+            own_word = own_pair = np.zeros(len(word), np.int64)
+            length = 0
+        context = self.shift(word - own_word, self.c1[self.end] - int(delete))
+        wide = self.shift(pair - own_pair, 0)
+        share = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)
+        f2 = share(pair - own_pair, context)
+        f1 = (word - own_word) / np.maximum(total - length, 1)
+        if 3 in self.keys:
+            triple = self.c3[np.maximum(self.triple, 0)] if len(self.c3) else np.zeros(len(word), np.int64)
+            f3 = np.where(self.first, 0.0, share(triple - (self.own(self.triple) if delete else 0), wide))
+        else:
+            f3 = np.zeros(len(word))
+        return wide, f3, context, f2, f1
+
+
+def _messages(block: int, n: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> list[tuple]:
+    part = (keys >> U(32)) * U(ranges) >> U(32)
+    starts = np.flatnonzero(np.diff(part, prepend=part[:1] + U(1))) if len(part) else []
+    ends = [*starts[1:], len(keys)]
+    return [(block, n, int(part[a]), _pack(keys[a:b]), _planes(counts[a:b])) for a, b in zip(starts, ends, strict=True)] if len(part) else []
+
+
+def _asker(ranges: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a block: its distinct words and pairs with their counts, a message for each range and order."""
 
     def ask(t: pa.Table) -> pa.Table:
-        block, _, ones, twos = _block(t, mask)
-        out: dict[str, list] = {c.split()[0]: [] for c in _MESSAGE.split(", ")}
-        for n, (keys, counts) in ((1, ones), (2, twos)):
-            cut = np.searchsorted((keys >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1, dtype=np.uint64))
-            for part in range(ranges):
-                a, b = int(cut[part]), int(cut[part + 1])
-                if b > a:
-                    for name, x in (("block", block), ("n", n), ("part", part), ("kind", 0), ("hashes", _pack(keys[a:b])), ("counts", _planes(counts[a:b]))):
-                        out[name].append(x)
-        return pa.table(out, schema=_schema())
+        b = _Block(t)
+        return _table([*_messages(b.block, 1, b.words, b.c1, ranges), *_messages(b.block, 2, b.pairs, b.c2, ranges)], _ASKED)
 
     return ask
 
 
-def _schema() -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _MESSAGE.split(", ")])
+def _triple_asker(ranges: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def ask(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        b = _Block(docs)
+        b.learn(answers)
+        return _table(_messages(b.block, 3, *b.shared_triples(), ranges), _ASKED)
+
+    return ask
 
 
 def _answer(t: pa.Table) -> pa.Table:
-    """Of one range: for each block the n-grams whose count differs from the block's own; and the range's distinct and total counts (kind 1)."""
-    n, part = t.column("n")[0].as_py(), t.column("part")[0].as_py()
-    blocks = t.column("block").to_pylist()
+    """Of one range: for each block the n-grams that another block holds as well, with their counts in all; and the range's distinct and total counts (block -1)."""
+    n, blocks = t.column("n")[0].as_py(), t.column("block").to_pylist()
     order = sorted(range(len(blocks)), key=blocks.__getitem__)
     hashes, counts = t.column("hashes"), t.column("counts")
     keys = [_unpack(hashes[i].as_py()) for i in order]
-    own = [_unplanes(counts[i].as_py(), np.uint32) for i in order]
-    joined = np.concatenate(keys)
-    by_key = np.argsort(joined, kind="stable")
-    ordered = joined[by_key]
-    first = np.ones(len(ordered), bool)
-    first[1:] = ordered[1:] != ordered[:-1]
-    del ordered, joined
-    group = np.cumsum(first) - 1
-    sums = np.bincount(group, weights=np.concatenate(own)[by_key]).astype(np.int64)
-    total = np.empty(len(by_key), np.int64)
-    total[by_key] = sums[group]
-    out: dict[str, list] = {name: [] for name in t.schema.names}
+    own = [_unplanes(counts[i].as_py(), np.int64) for i in order]
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(place, weights=np.concatenate(own)).astype(np.int64)
+    several = np.bincount(place) > 1
+    out: list[tuple] = [(-1, n, b"", b"", int(np.count_nonzero(sums)), int(sums.sum()))]
+    del found
     at = 0
-    for i, k, c in zip(order, keys, own, strict=True):
-        here = total[at : at + len(k)]
+    for i, k in zip(order, keys, strict=True):
+        here = place[at : at + len(k)]
         at += len(k)
-        differs = here != c
-        if differs.any():
-            row = (blocks[i], n, part, 0, _pack(k[differs]), _planes(here[differs]))
-            for name, x in zip(out, row, strict=True):
-                out[name].append(x)
-    row = (-1, n, part, 1, b"", np.array([np.count_nonzero(sums), sums.sum()], np.int64).tobytes())
-    for name, x in zip(out, row, strict=True):
-        out[name].append(x)
-    return pa.table(out, schema=_schema())
-
-
-def _totals(ones: tuple, twos: tuple, answers: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Words and pairs of a block with their counts in all training documents."""
-    ns, hashes, counts = answers.column("n").to_pylist(), answers.column("hashes"), answers.column("counts")
-    out = []
-    for n, (keys, own) in ((1, ones), (2, twos)):
-        total = own.astype(np.int64)
-        for i, m in enumerate(ns):
-            if m == n:
-                total[np.searchsorted(keys, _unpack(hashes[i].as_py()))] = _unplanes(counts[i].as_py(), np.int64)
-        out.append((keys, total))
-    return out
-
-
-def _context(before: np.ndarray, words: np.ndarray, totals: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """c(v): of a word its own count, of the start the number of training documents, which is the end's count."""
-    ends = np.flatnonzero(words == _END)
-    out = np.empty(len(before), np.int64)
-    out[1:] = totals[ids[:-1]]
-    out[before == _START] = totals[ends[0]] if len(ends) else 0
-    return out
+        told = several[here]
+        if told.any():
+            out.append((blocks[i], n, _pack(k[told]), _planes(sums[here[told]]), 0, 0))
+    return _table(out, _ANSWERED)
 
 
 def bucket_of(c: np.ndarray) -> np.ndarray:
@@ -197,49 +290,44 @@ def _level(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _held_out_cells(total_tokens: int, mask: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    """Of a block of deleted documents: how many tokens have each (bucket, level of the pair's share, level of the word's), with the document's own counts deleted."""
+def _share(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, 2.0 ** (-(level - 1.0) / _STEPS), 0.0)
+
+
+def _lower_model(context: np.ndarray, f2: np.ndarray, f1: np.ndarray, weights: np.ndarray, vocabulary: int) -> np.ndarray:
+    """P2 of each token."""
+    w = weights[bucket_of(context)]
+    return w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] / (vocabulary + 1)
+
+
+def _held_out_cells(total: int, vocabulary: int, weights: np.ndarray | None) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Of a block of deleted documents: how many tokens have each (bucket, level, level), with the document's own counts deleted.
+
+    Without weights of the bigram model the levels are those of f2 and f1 and the bucket is that of c(v); with them, of f3, P2 and c(u v).
+    """
 
     def cells(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        _, (h, before, row, pairs), ones, twos = _block(docs, mask)
-        (words, c1), (keys, c2) = _totals(ones, twos, answers)
-        ids = np.searchsorted(words, h)
-        length = np.bincount(row)[row]
-
-        def own(k: np.ndarray) -> np.ndarray:
-            tagged = mix(k + row.astype(np.uint64) * U(0xD1342543DE82EF95))
-            _, inverse, counts = np.unique(tagged, return_inverse=True, return_counts=True)
-            return counts[inverse]
-
-        own_word = own(h)
-        own_before = np.empty_like(own_word)
-        own_before[1:] = own_word[:-1]
-        own_before[before == _START] = 1
-        context = _context(before, words, c1, ids) - own_before
-        pair = c2[np.searchsorted(keys, pairs)] - own(pairs)
-        word = c1[ids] - own_word
-        p2 = np.where(context > 0, pair / np.maximum(context, 1), 0.0)
-        p1 = word / np.maximum(total_tokens - length, 1)
-        code = (bucket_of(context) << 20) | (_level(p2) << 10) | _level(p1)
-        found, counts = np.unique(code, return_counts=True)
+        b = _Block(docs)
+        b.learn(answers)
+        if weights is not None:
+            b.add_triples()
+        wide, f3, context, f2, f1 = b.estimates(total, delete=True)
+        if weights is None:
+            code = (bucket_of(context) << 20) | (_level(f2) << 10) | _level(f1)
+        else:
+            code = (bucket_of(wide) << 20) | (_level(f3) << 10) | _level(_lower_model(context, f2, f1, weights, vocabulary))
+        found, place = np.unique(code[b.live], return_inverse=True)
+        counts = np.bincount(place, weights=b.deleted[b.row[b.live]]).astype(np.int64)
         return pa.table({"cell": pa.array(found, pa.int64()), "tokens": pa.array(counts, pa.int64())})
 
     return cells
 
 
-def learn_weights(cells: list[tuple[int, int]], vocabulary: int, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """Weights (pair, word, uniform) of each bucket by expectation-maximisation; a bucket without held-out tokens takes the weights of all."""
-    code = np.array([c for c, _ in cells], np.int64)
-    n = np.array([k for _, k in cells], np.float64)
-
-    def share(level: np.ndarray) -> np.ndarray:
-        return np.where(level > 0, 2.0 ** (-(level - 1.0) / _STEPS), 0.0)
-
-    p = np.stack([share((code >> 10) & 1023), share(code & 1023), np.full(len(code), 1.0 / (vocabulary + 1))], axis=1)
-    bucket = code >> 20
+def _em(p: np.ndarray, n: np.ndarray, bucket: np.ndarray, rounds: int) -> np.ndarray:
+    """Mixture weights of each bucket; a bucket without held-out tokens takes those of all."""
 
     def fit(at: np.ndarray) -> np.ndarray:
-        w = np.full(3, 1 / 3)
+        w = np.full(p.shape[1], 1 / p.shape[1])
         for _ in range(rounds):
             e = p[at] * w
             w = (e / e.sum(axis=1, keepdims=True) * n[at, None]).sum(axis=0) / n[at].sum()
@@ -247,65 +335,81 @@ def learn_weights(cells: list[tuple[int, int]], vocabulary: int, rounds: int = E
             w /= w.sum()
         return w
 
-    everything = fit(np.arange(len(code))) if len(code) else np.array([0.0, 0.5, 0.5])
+    everything = fit(np.arange(len(n))) if len(n) else np.eye(p.shape[1])[1] * 0.5 + np.eye(p.shape[1])[-1] * 0.5
     out = np.tile(everything, (BUCKETS, 1))
     for b in np.unique(bucket):
         out[b] = fit(np.flatnonzero(bucket == b))
     return out
 
 
-def _scorer(total_tokens: int, vocabulary: int, weights: np.ndarray, mask: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    def score(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block, (h, before, row, pairs), ones, twos = _block(docs, mask)
-        (words, c1), (keys, c2) = _totals(ones, twos, answers)
-        ids = np.searchsorted(words, h)
-        word, context = c1[ids], _context(before, words, c1, ids)
-        pair = c2[np.searchsorted(keys, pairs)]
-        w = weights[bucket_of(context)]
-        p = w[:, 0] * np.where(context > 0, pair / np.maximum(context, 1), 0.0) + w[:, 1] * word / max(total_tokens, 1) + w[:, 2] / (vocabulary + 1)
-        n = docs.num_rows
-        count = np.bincount(row, minlength=n)
-        base = np.bincount(row, weights=np.log10(word + 1.0), minlength=n) - count * np.log10(float(total_tokens + vocabulary + 1))
-        return pa.table(
-            {
-                "doc_id": docs.column("doc_id"),
-                "held_out": pa.array([block % FOLDS == HELD_OUT] * n),
-                "n_tokens": pa.array(count, pa.int64()),
-                "n_known": pa.array(np.bincount(row, weights=word > 0, minlength=n).astype(np.int64)),
-                "train_tokens": pa.array([total_tokens] * n, pa.int64()),
-                "base_score": pa.array(base),
-                "score": pa.array(np.bincount(row, weights=np.log10(p), minlength=n)),
-            }
-        )
+def learn_weights(cells: list[tuple[int, int]], vocabulary: int, rounds: int = EM_ROUNDS) -> np.ndarray:
+    """Weights (pair, word, uniform) of each bucket by expectation-maximisation."""
+    code, n = np.array([c for c, _ in cells], np.int64), np.array([k for _, k in cells], np.float64)
+    p = np.stack([_share((code >> 10) & 1023), _share(code & 1023), np.full(len(code), 1.0 / (vocabulary + 1))], axis=1)
+    return _em(p, n, code >> 20, rounds)
+
+
+def learn_top_weights(cells: list[tuple[int, int]], rounds: int = EM_ROUNDS) -> np.ndarray:
+    """Weights (triple, lower model) of each bucket by expectation-maximisation."""
+    code, n = np.array([c for c, _ in cells], np.int64), np.array([k for _, k in cells], np.float64)
+    return _em(np.stack([_share((code >> 10) & 1023), _share(code & 1023)], axis=1), n, code >> 20, rounds)
 
-    return score
 
+_SCORED = "node binary, n_tokens long, n_known long, base double, score double"
 
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+def _scorer(total: int, vocabulary: int, weights: np.ndarray, top: np.ndarray) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def score(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        b = _Block(docs)
+        b.learn(answers)
+        b.add_triples()
+        wide, f3, context, f2, f1 = b.estimates(total, delete=False)
+        w = top[bucket_of(wide)]
+        p = w[:, 0] * f3 + w[:, 1] * _lower_model(context, f2, f1, weights, vocabulary)
+        word, row = b.c1[b.word][b.live], b.row[b.live]
+        per = lambda x: np.bincount(row, weights=x, minlength=b.n)
+        count = np.bincount(row, minlength=b.n)
+        base = per(np.log10(word + 1.0)) - count * np.log10(float(total + vocabulary + 1))
+        return pa.table([b.nodes, pa.array(count, pa.int64()), pa.array(per(word > 0).astype(np.int64)), pa.array(base), pa.array(per(np.log10(p[b.live])))], names=[c.split()[0] for c in _SCORED.split(", ")])
+
+    return score
 
 
-def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_keys: int = RANGE_KEYS) -> DataFrame:
+def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_keys: int = RANGE_KEYS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), crc_remainder(F.col("doc_id"), FOLDS).alias("fold"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("node"), text.alias("text"))
     size = int(docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0)
-    blocks = 1 + size // (block_bytes * FOLDS)  # of each remainder
-    bits = min(64, 20 + max(1, size // 6).bit_length())
-    mask = (1 << 64) - (1 << (64 - bits))
-    ranges = 1 + size // (6 * range_keys)  # about six bytes a token
-    fold = crc_remainder(F.col("doc_id"), FOLDS)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)) * FOLDS + fold).cast("long").alias("block"))
-    asked = dealt.groupBy("block").applyInArrow(_asker(ranges, mask), _MESSAGE)
-    answers = settle(asked.groupBy("n", "part").applyInArrow(_answer, _MESSAGE), "lm-counts")
-    vocabulary = total = 0
-    for r in answers.where("kind = 1 AND n = 1").select("counts").toLocalIterator():
-        found, tokens = np.frombuffer(bytes(r[0]), np.int64)
-        vocabulary, total = vocabulary + int(found), total + int(tokens)
-    counts = answers.where("kind = 0").select("block", "n", "hashes", "counts")
-    deleted = f"block % {FOLDS} = {DELETED}"
-    cells = dealt.where(deleted).groupBy("block").cogroup(counts.where(deleted).groupBy("block")).applyInArrow(_held_out_cells(total, mask), "cell long, tokens long")
-    # At most BUCKETS * 242 * 242 cells, whatever the input.
-    weights = learn_weights([(r[0], r[1]) for r in cells.groupBy("cell").agg(F.sum("tokens")).collect()], vocabulary)
-    return dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scorer(total, vocabulary, weights, mask), _SCORES)
+    blocks = 1 + size // block_bytes
+    ranges = 1 + size // (6 * range_keys)  # about six bytes a token; of one-letter words a range holds three times as many
+    distinct = rows.groupBy("node").agg(F.count_if(F.col("fold") != HELD_OUT).alias("train"), F.count_if(F.col("fold") == DELETED).alias("deleted"), F.min("text").alias("text"))
+    block = F.pmod(F.xxhash64("node", "piece"), F.lit(blocks)) * 2 + (F.col("deleted") > 0).cast("int")
+    pieces = bucketed(distinct.mapInArrow(_splitter(piece_bytes), _PIECES).withColumn("block", block), "lm-pieces", "block", 1 + size // BUCKET_BYTES)
+
+    def answered(asked: DataFrame) -> DataFrame:
+        return settle(asked.groupBy("n", "part").applyInArrow(_answer, _ANSWERED), "lm-counts")
+
+    answers = answered(pieces.groupBy("block").applyInArrow(_asker(ranges), _ASKED))
+    counts = answers.where("block >= 0").select("block", "n", "hashes", "counts")
+    sums = answers.where("block < 0 AND n = 1").agg(F.sum("found"), F.sum("tokens")).first()
+    vocabulary, total = sums[0] or 0, sums[1] or 0
+
+    def met(function: Callable, schema: str, counts: DataFrame, only: str = "true") -> DataFrame:
+        return pieces.where(only).groupBy("block").cogroup(counts.where(only).groupBy("block")).applyInArrow(function, schema)
+
+    def cells(weights: np.ndarray | None, counts: DataFrame) -> list[tuple[int, int]]:
+        found = met(_held_out_cells(total, vocabulary, weights), "cell long, tokens long", counts, "block % 2 = 1")
+        # At most BUCKETS * 242 * 242 cells, whatever the input.
+        return [(r[0], r[1]) for r in found.groupBy("cell").agg(F.sum("tokens")).collect()]
+
+    weights = learn_weights(cells(None, counts), vocabulary)
+    triples = answered(met(_triple_asker(ranges), _ASKED, counts)).where("block >= 0").select("block", "n", "hashes", "counts")
+    everything = counts.unionByName(triples)
+    top = learn_top_weights(cells(weights, everything))
+    scored = met(_scorer(total, vocabulary, weights, top), _SCORED, everything)
+    whole = scored.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    named = to_rows(rows.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), "node"), whole, "node")
+    return named.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can see: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder every executor and the driver can see: spark.checkpoint.dir; where that is unset, one of our own, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -35,14 +38,42 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
     The shuffle files of the job go as soon as it ends, as nothing reads them again.
     """
-    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = shared_path(spark, label), spark.conf.get(clean, "false")
+    path = shared_path(df.sparkSession, label)
+    with _brief_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def _brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Has the shuffle files of the jobs inside removed when they end."""
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
     spark.conf.set(clean, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(clean, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
+    """Like settle(), as a table bucketed by a column: grouping by it or joining on it later moves no row of the table."""
+    spark, buckets = df.sparkSession, min(buckets, 1 << 14)
+    path = shared_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    with _brief_shuffles(spark):
+        df.repartition(buckets, column).write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).sortBy(column).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def to_rows(rows: DataFrame, values: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """rows with the columns of values (one row a key, binary or text), all rows; a key that holds most rows is met by many tasks.
+
+    Rows are dealt to parts as they are written; the parts of a key that have rows get its values first.
+    """
+    dealt = settle(rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")), "rows")
+    met = dealt.select(key, "_part").distinct().join(values, key)
+    return dealt.join(met, [key, "_part"]).drop("_part")
 
 
 def row_keys(df: DataFrame) -> DataFrame:

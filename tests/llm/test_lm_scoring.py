@@ -19,44 +19,100 @@ def remainder(i):
     return zlib.crc32(("" if i is None else str(i)).encode()) % 7
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_against_brute_force(spark, sf_dir, small):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = [tuple(r) for r in docs.collect()] + [(10**9, None), (10**9 + 1, ""), (10**9, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lm.score_documents(docs, *((5000, 500) if small else ())).collect()
-    one, two, contexts = Counter(), Counter(), Counter()
+def brute_force(rows):
+    """By row: held out, tokens, known tokens, N, base score, score; counted with dictionaries."""
+    one, two, three, starts = Counter(), Counter(), Counter(), 0
+
+    def grams(w):
+        return zip(["START", *w], w, strict=False), zip(["START", *w], w, w[1:], strict=False)
+
     for i, t in rows:
         if remainder(i) != lm.HELD_OUT:
             w = tokens(t)
+            pairs, triples = grams(w)
             one.update(w)
-            two.update(zip(["START", *w], w, strict=False))
-            contexts.update(["START", *w[:-1]])
+            two.update(pairs)
+            three.update(triples)
+            starts += 1
     total, distinct = sum(one.values()), len(one)
-    assert len(got) == len(rows)
-    cells = Counter()
-    for i, t in rows:
-        if remainder(i) == lm.DELETED:
-            w = tokens(t)
-            own1, own2, ownc = Counter(w), Counter(zip(["START", *w], w, strict=False)), Counter(["START", *w[:-1]])
-            for v, x in zip(["START", *w], w, strict=False):
-                c = contexts[v] - ownc[v]
-                p2 = (two[v, x] - own2[v, x]) / c if c > 0 else 0.0
-                p1 = (one[x] - own1[x]) / (total - len(w))
-                cells[int(lm.bucket_of(np.array([c]))[0]) << 20 | int(lm._level(np.array([p2]))[0]) << 10 | int(lm._level(np.array([p1]))[0])] += 1
-    weights = lm.learn_weights(list(cells.items()), distinct)
-    by = {}
+    at = lambda c: int(lm.bucket_of(np.array([c]))[0])
+    level = lambda p: int(lm._level(np.array([p]))[0])
+
+    def estimates(w, delete):
+        own1, own2, own3 = Counter(), Counter(), Counter()
+        if delete:
+            own1.update(w)
+            pairs, triples = grams(w)
+            own2.update(pairs)
+            own3.update(triples)
+        n = total - (len(w) if delete else 0)
+        for k, x in enumerate(w):
+            v = w[k - 1] if k else "START"
+            c = one[v] - own1[v] if k else starts - int(delete)
+            u = (w[k - 2] if k > 1 else "START") if k else None
+            wide = two[u, v] - own2[u, v] if k else 0
+            f3 = (three[u, v, x] - own3[u, v, x]) / wide if wide > 0 else 0.0
+            yield wide, f3, c, (two[v, x] - own2[v, x]) / c if c > 0 else 0.0, (one[x] - own1[x]) / max(n, 1)
+
+    def lower(e, weights):
+        w = weights[at(e[2])]
+        return w[0] * e[3] + w[1] * e[4] + w[2] / (distinct + 1)
+
+    deleted = [e for i, t in rows if remainder(i) == lm.DELETED for e in estimates(tokens(t), True)]
+    weights = lm.learn_weights(sorted(Counter(at(c) << 20 | level(f2) << 10 | level(f1) for _, _, c, f2, f1 in deleted).items()), distinct)
+    top = lm.learn_top_weights(sorted(Counter(at(e[0]) << 20 | level(e[1]) << 10 | level(lower(e, weights)) for e in deleted).items()))
+    out = []
     for i, t in rows:
         w = tokens(t)
         base = sum(math.log10((one[x] + 1) / (total + distinct + 1)) for x in w)
-        score = 0.0
-        for v, x in zip(["START", *w], w, strict=False):
-            c, l = contexts[v], weights[int(lm.bucket_of(np.array([contexts[v]]))[0])]
-            score += math.log10(l[0] * (two[v, x] / c if c else 0) + l[1] * one[x] / total + l[2] / (distinct + 1))
-        by[i] = (remainder(i) == lm.HELD_OUT, len(w), sum(one[x] > 0 for x in w), total, base, score)
-    for r in got:
-        assert tuple(r)[1:5] == by[r["doc_id"]][:4]
-        assert r["base_score"] == pytest.approx(by[r["doc_id"]][4], rel=1e-9) and r["score"] == pytest.approx(by[r["doc_id"]][5], rel=1e-6)
+        score = sum(math.log10(top[at(e[0])][0] * e[1] + top[at(e[0])][1] * lower(e, weights)) for e in estimates(w, False))
+        out.append((i, remainder(i) == lm.HELD_OUT, len(w), sum(one[x] > 0 for x in w), total, base, score))
+    return out
+
+
+def alike(got, want):
+    order = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
+    got, want = sorted(map(tuple, got), key=order), sorted(want, key=order)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]], rel=1e-6)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_against_brute_force(spark, sf_dir, small):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    rows += [(10**9, None), (10**9 + 1, ""), (10**9, None), *rows[:3], (None, "a b a b"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    alike(lm.score_documents(docs, *((5000, 500) if small else ())).collect(), brute_force(rows))
+
+
+def test_the_query_against_brute_force(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    alike(lm.op8_lm_scoring(spark, sf_dir).collect(), brute_force(rows))
+
+
+def test_long_texts_are_counted_in_pieces(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 40, 400)) + "  ") for i in range(40) if remainder(i) != lm.DELETED]
+    rows += [(900, "x" * 5000 + " a  b\n"), (901, "  "), (902, "x" * 5000)]
+    rows = [r for r in rows if remainder(r[0]) != lm.DELETED]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    alike(lm.score_documents(docs, 3000, 500, 200).collect(), brute_force(rows))
+
+
+def test_pieces():
+    text = " one two  three\tfour five six  "
+    parts = lm.pieces_of(text.encode(), 6)
+    words = [w for skip, body in parts for w in body.split()[skip:]]
+    assert words == text.encode().split() and len(parts) > 2
+    assert all(body.split()[:skip] == text.encode().split()[:99][max(0, sum(len(b.split()) - s for s, b in parts[:i]) - 2) :][:skip] for i, (skip, body) in enumerate(parts))
+    assert lm.pieces_of(b"", 6) == [(0, b"")]
+
+
+def test_equal_rows_share_one_piece(spark):
+    docs = spark.createDataFrame([(i, "again and again") for i in range(3000)] + [(None, "again and again")] * 50, "doc_id long, text string")
+    got = lm.score_documents(docs, 500, 50).collect()
+    alike(got, brute_force([tuple(r) for r in docs.collect()]))
 
 
 def test_held_out_text_is_likelier_than_by_words_alone(spark):
