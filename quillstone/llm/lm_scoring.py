@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import bucketed, settle, table, to_rows
+from quillstone.llm.shared import bucketed, row_keys, settle, table, to_rows
 from quillstone.llm.words import SPACED, U, hash_words, mix, row_blocks, string_buffers
 
 HELD_OUT, DELETED, FOLDS = 2, 3, 7
 BLOCK_BYTES = 2 << 20
 PIECE_BYTES = 1 << 20
 RANGE_KEYS = 1 << 19
-BUCKET_BYTES = 16 << 20
+TASK_BYTES = 32 << 20  # of text, for a task
 EM_ROUNDS = 60
 BUCKETS = 40
 _STEPS = 4  # quantised probabilities a power of two, for the weights only
@@ -378,16 +378,17 @@ def _scorer(total: int, vocabulary: int, weights: np.ndarray, top: np.ndarray) -
 def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_keys: int = RANGE_KEYS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), crc_remainder(F.col("doc_id"), FOLDS).alias("fold"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("node"), text.alias("text"))
+    keyed = row_keys(docs.select("doc_id", "text"))
+    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), crc_remainder(F.col("doc_id"), FOLDS).alias("fold"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("node"), text.alias("text"), "_file", "_row")
     size = int(docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0)
-    blocks = 1 + size // block_bytes
+    blocks, tasks = 1 + size // block_bytes, 1 + size // TASK_BYTES
     ranges = 1 + size // (6 * range_keys)  # about six bytes a token; of one-letter words a range holds three times as many
     distinct = rows.groupBy("node").agg(F.count_if(F.col("fold") != HELD_OUT).alias("train"), F.count_if(F.col("fold") == DELETED).alias("deleted"), F.min("text").alias("text"))
     block = F.pmod(F.xxhash64("node", "piece"), F.lit(blocks)) * 2 + (F.col("deleted") > 0).cast("int")
-    pieces = bucketed(distinct.mapInArrow(_splitter(piece_bytes), _PIECES).withColumn("block", block), "lm-pieces", "block", 1 + size // BUCKET_BYTES)
+    pieces = bucketed(distinct.mapInArrow(_splitter(piece_bytes), _PIECES).withColumn("block", block), "lm-pieces", "block", tasks)
 
     def answered(asked: DataFrame) -> DataFrame:
-        return settle(asked.groupBy("n", "part").applyInArrow(_answer, _ANSWERED), "lm-counts")
+        return settle(asked.repartition(min(tasks, ranges), "n", "part").groupBy("n", "part").applyInArrow(_answer, _ANSWERED), "lm-counts")
 
     answers = answered(pieces.groupBy("block").applyInArrow(_asker(ranges), _ASKED))
     counts = answers.where("block >= 0").select("block", "n", "hashes", "counts")
@@ -408,7 +409,7 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_keys:
     top = learn_top_weights(cells(weights, everything))
     scored = met(_scorer(total, vocabulary, weights, top), _SCORED, everything)
     whole = scored.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    named = to_rows(rows.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), "node"), whole, "node")
+    named = to_rows(rows.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), "node", "_file", "_row"), whole, "node")
     return named.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 

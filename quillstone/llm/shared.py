@@ -67,13 +67,13 @@ def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
 
 
 def to_rows(rows: DataFrame, values: DataFrame, key: str, parts: int = 64) -> DataFrame:
-    """rows with the columns of values (one row a key, binary or text), all rows; a key that holds most rows is met by many tasks.
+    """rows (with _file and _row of row_keys()) and the columns of values (one row a key).
 
-    Rows are dealt to parts as they are written; the parts of a key that have rows get its values first.
+    Rows are dealt to parts; each part of a key gets the key's values first, so a key that holds most rows is met by many tasks.
     """
-    dealt = settle(rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")), "rows")
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("_file", "_row"), F.lit(parts)).cast("int"))
     met = dealt.select(key, "_part").distinct().join(values, key)
-    return dealt.join(met, [key, "_part"]).drop("_part")
+    return dealt.join(met, [key, "_part"]).drop("_part", "_file", "_row")
 
 
 def row_keys(df: DataFrame) -> DataFrame:
