@@ -9,9 +9,8 @@ Counts cover every training document. Equal texts are counted once, with their n
 cut between words into pieces; a piece carries the two words before it. Pieces are dealt by hash into blocks of bounded
 size, in a bucketed table, so that texts move once. A block sends each distinct n-gram it holds once, as sorted
 delta-coded 64-bit hashes, to the range of hashes that the n-gram falls into; a range sums the counts of all blocks and
-answers each block for the n-grams that other blocks hold as well (a block knows the rest itself). A block asks for a
-trigram only if other blocks hold both of its pairs; if not, its own count is the total. No task holds more than one
-block or one range.
+answers each block in the order of its message, so answers hold counts alone. A block asks for a trigram only if other
+blocks hold both of its pairs; if not, its own count is the total. No task holds more than one block or one range.
 
 Edge cases: null texts are empty and have one token, the end; a null doc_id counts as the empty text in the CRC; with
 no training document every probability is the uniform share; repeated rows count each time; of very long texts the
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import bucketed, row_keys, settle, table, to_rows
+from quillstone.llm.shared import brief_shuffles, bucketed, row_keys, settle, table, to_rows
 from quillstone.llm.words import SPACED, U, hash_words, mix, row_blocks, string_buffers
 
 HELD_OUT, DELETED, FOLDS = 2, 3, 7
@@ -40,7 +39,7 @@ BUCKETS = 40
 _STEPS = 4  # quantised probabilities a power of two, for the weights only
 _END, _START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 _ASKED = "block long, n int, part long, hashes binary, counts binary"
-_ANSWERED = "block long, n int, hashes binary, counts binary, found long, tokens long"
+_ANSWERED = "block long, n int, part long, counts binary, found long, tokens long"
 _PIECES = "node binary, piece int, skip int, last boolean, train long, deleted long, text string"
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
 
@@ -167,16 +166,16 @@ class _Block:
         self.c3 = np.zeros(0, np.int64)
 
     def learn(self, answers: pa.Table) -> None:
-        """Takes the totals of answers over."""
-        self.elsewhere = np.zeros(len(self.pairs), bool)
-        ns, hashes, counts = answers.column("n").to_pylist(), answers.column("hashes"), answers.column("counts")
-        if 3 in ns:
+        """Takes the totals of answers over; they come range by range, in the order of the keys asked for."""
+        found = [(r[0], r[1], _unplanes(r[2], np.int64)) for r in zip(*(answers.column(c).to_pylist() for c in ("n", "part", "counts")), strict=True)]
+        totals = {n: np.concatenate([x for _, x in sorted(((p, x) for m, p, x in found if m == n), key=lambda t: t[0])]) for n in {n for n, _, _ in found}}
+        self.c1 = totals[1] >> 1
+        if 2 in totals:
+            self.elsewhere = (totals[2] & 1).astype(bool)
+            self.c2 = totals[2] >> 1
+        if 3 in totals:
             self.add_triples()
-        for i, n in enumerate(ns):
-            at = np.searchsorted(self.keys[n], _unpack(hashes[i].as_py()))
-            {1: self.c1, 2: self.c2, 3: self.c3}[n][at] = _unplanes(counts[i].as_py(), np.int64)
-            if n == 2:
-                self.elsewhere[at] = True
+            self.c3[self.shared_triples()] = totals[3] >> 1
 
     def add_triples(self) -> None:
         if 3 in self.keys:
@@ -188,13 +187,12 @@ class _Block:
         self.triple = np.full(len(self.h), -1, np.int32)
         self.triple[inside] = place
 
-    def shared_triples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Triples, with the block's counts, both of whose pairs other blocks hold too."""
+    def shared_triples(self) -> np.ndarray:
+        """Places of the triples both of whose pairs other blocks hold too."""
         self.add_triples()
         elsewhere, inside = self.elsewhere, np.flatnonzero(~self.first)
         inside = inside[elsewhere[self.pair[inside]] & elsewhere[self.pair[inside - 1]]]
-        some = np.unique(self.triple[inside])
-        return self.keys[3][some], self.c3[some]
+        return np.unique(self.triple[inside])
 
     def own(self, place: np.ndarray) -> np.ndarray:
         """Of each token: how often its row holds its n-gram."""
@@ -251,30 +249,26 @@ def _triple_asker(ranges: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table
     def ask(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         b = _Block(docs)
         b.learn(answers)
-        return _table(_messages(b.block, 3, *b.shared_triples(), ranges), _ASKED)
+        some = b.shared_triples()
+        return _table(_messages(b.block, 3, b.keys[3][some], b.c3[some], ranges), _ASKED)
 
     return ask
 
 
 def _answer(t: pa.Table) -> pa.Table:
-    """Of one range: for each block the n-grams that another block holds as well, with their counts in all; and the range's distinct and total counts (block -1)."""
-    n, blocks = t.column("n")[0].as_py(), t.column("block").to_pylist()
+    """Of one range: for each message, in its order, twice the count in all of each n-gram and one more if another block holds it too; and the range's distinct and total counts (block -1)."""
+    n, part, blocks = t.column("n")[0].as_py(), t.column("part")[0].as_py(), t.column("block").to_pylist()
     order = sorted(range(len(blocks)), key=blocks.__getitem__)
-    hashes, counts = t.column("hashes"), t.column("counts")
-    keys = [_unpack(hashes[i].as_py()) for i in order]
-    own = [_unplanes(counts[i].as_py(), np.int64) for i in order]
+    keys = [_unpack(t.column("hashes")[i].as_py()) for i in order]
     found, place = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.bincount(place, weights=np.concatenate(own)).astype(np.int64)
-    several = np.bincount(place) > 1
-    out: list[tuple] = [(-1, n, b"", b"", int(np.count_nonzero(sums)), int(sums.sum()))]
+    sums = np.bincount(place, weights=np.concatenate([_unplanes(t.column("counts")[i].as_py(), np.int64) for i in order])).astype(np.int64)
+    out: list[tuple] = [(-1, n, part, b"", int(np.count_nonzero(sums)), int(sums.sum()))]
+    told = sums * 2 + (np.bincount(place) > 1)
     del found
     at = 0
     for i, k in zip(order, keys, strict=True):
-        here = place[at : at + len(k)]
+        out.append((blocks[i], n, part, _planes(told[place[at : at + len(k)]]), 0, 0))
         at += len(k)
-        told = several[here]
-        if told.any():
-            out.append((blocks[i], n, _pack(k[told]), _planes(sums[here[told]]), 0, 0))
     return _table(out, _ANSWERED)
 
 
@@ -391,7 +385,7 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_keys:
         return settle(asked.repartition(min(tasks, ranges), "n", "part").groupBy("n", "part").applyInArrow(_answer, _ANSWERED), "lm-counts")
 
     answers = answered(pieces.groupBy("block").applyInArrow(_asker(ranges), _ASKED))
-    counts = answers.where("block >= 0").select("block", "n", "hashes", "counts")
+    counts = answers.where("block >= 0").select("block", "n", "part", "counts")
     sums = answers.where("block < 0 AND n = 1").agg(F.sum("found"), F.sum("tokens")).first()
     vocabulary, total = sums[0] or 0, sums[1] or 0
 
@@ -401,10 +395,11 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_keys:
     def cells(weights: np.ndarray | None, counts: DataFrame) -> list[tuple[int, int]]:
         found = met(_held_out_cells(total, vocabulary, weights), "cell long, tokens long", counts, "block % 2 = 1")
         # At most BUCKETS * 242 * 242 cells, whatever the input.
-        return [(r[0], r[1]) for r in found.groupBy("cell").agg(F.sum("tokens")).collect()]
+        with brief_shuffles(docs.sparkSession):
+            return [(r[0], r[1]) for r in found.groupBy("cell").agg(F.sum("tokens")).collect()]
 
     weights = learn_weights(cells(None, counts), vocabulary)
-    triples = answered(met(_triple_asker(ranges), _ASKED, counts)).where("block >= 0").select("block", "n", "hashes", "counts")
+    triples = answered(met(_triple_asker(ranges), _ASKED, counts)).where("block >= 0").select("block", "n", "part", "counts")
     everything = counts.unionByName(triples)
     top = learn_top_weights(cells(weights, everything))
     scored = met(_scorer(total, vocabulary, weights, top), _SCORED, everything)

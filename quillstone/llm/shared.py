@@ -39,13 +39,13 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     The shuffle files of the job go as soon as it ends, as nothing reads them again.
     """
     path = shared_path(df.sparkSession, label)
-    with _brief_shuffles(df.sparkSession):
+    with brief_shuffles(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def _brief_shuffles(spark: SparkSession) -> Iterator[None]:
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
     """Has the shuffle files of the jobs inside removed when they end."""
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(clean, "false")
@@ -61,7 +61,7 @@ def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     spark, buckets = df.sparkSession, min(buckets, 1 << 14)
     path = shared_path(spark, label)
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    with _brief_shuffles(spark):
+    with brief_shuffles(spark):
         df.repartition(buckets, column).write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).sortBy(column).format("parquet").saveAsTable(name)
     return spark.table(name)
 
