@@ -7,8 +7,9 @@ w its quality weight, and documents are taken in key order until the prefix sum
 at the middle of a document, so the words taken differ from the target by half a document at most.
 
 Edge cases: a null source is a source of its own and comes last; null texts have size 0; documents without a label
-weigh UNLABELLED; repeated rows are separate documents; an empty table gives an empty table; input columns named like
-an added one are replaced.
+weigh UNLABELLED; null or repeated ids have equal keys (in the pipeline they are told apart by their places in the table);
+repeated rows are separate documents; an empty table gives an empty table; of the input's columns only those named like an added one
+are replaced; texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.llm.shared import bucket_count, row_keys, running_sum, settle, table, unit_hash
+from quillstone.llm.shared import bucket_count, column, fresh, place_of, row_keys, running_sum, settle, sheltered, table, unit_hash, without
 
 SOURCE_WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 23
 GOOD, BAD, UNLABELLED = 1.0, 0.25, 0.5
-_OWN = ["size", "source_size", "target", "taken", "copies", "_group", "_weight", "_key", "_quality", "_before", "_total", "_slot", "_value", "_inside", "_start", "_id"]
+_CHUNK = 1 << 16
+_ADDED = ["size", "source_size", "target", "copies", "taken"]
 
 
 def word_count(text: Column) -> Column:
@@ -52,19 +54,23 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, ca
     return level.withColumn("target", F.least(F.col("_limit"), F.coalesce(first_free * F.col("_w"), F.col("_limit")))).select("_group", F.col("_total").alias("source_size"), "target")
 
 
-def mix(df: DataFrame, quality: Column | None = None, weights: tuple[int, ...] = SOURCE_WEIGHTS, cap: int = CAP, seed: int = SEED, rows_per_slice: int = 256, size: Column | None = None) -> DataFrame:
-    """df (with doc_id, source, and text unless size is given) and size, source_size, target, copies (how often the mix takes the document), taken (words).
+def mix(df: DataFrame, quality: Column | None = None, weights: tuple[int, ...] = SOURCE_WEIGHTS, cap: int = CAP, seed: int = SEED, rows_per_slice: int = 256, size: Column | None = None, tie: Column | None = None, times: Column | None = None) -> DataFrame:
+    """df (with doc_id, source, and text unless size and tie are given) and size, source_size, target, copies (how often the mix takes the document), taken (words).
 
-    quality: a positive sampling weight of each document, all 1 if not given.
+    quality: a positive sampling weight of each document, all 1 if not given. tie: tells documents of one doc_id, or of none, apart, if given. times: how many equal documents a row
+    stands for, each of which the result has.
     """
-    kept = [c for c in df.columns if c.lower() not in _OWN]
-    tagged = (
-        df.withColumn("_sized", word_count(F.col("text")) if size is None else size)
-        .withColumn("_quality", F.lit(1.0) if quality is None else quality)
-        .select(*kept, F.col("_sized").alias("size"), "_quality")
-        .withColumn("_group", F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col("source"))))
-        .withColumn("_key", -F.ln(unit_hash(F.col("doc_id"), F.lit("mix"), seed=seed)) / F.col("_quality"))
+    tagged, back = sheltered(
+        df,
+        size=word_count(F.col("text")) if size is None else size,
+        _quality=F.lit(1.0) if quality is None else quality,
+        _group=F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col("source"))),
+        _id=F.col("doc_id"),
+        _times=F.lit(1) if times is None else times,
+        **({} if tie is None else {"_tie": tie}),
     )
+    told = [F.col("_id")] if tie is None else [F.col("_id"), F.col("_tie")]
+    tagged = tagged.withColumn("_key", -F.ln(unit_hash(*told, F.lit("mix"), seed=seed)) / F.col("_quality"))
     # Keys mix exponential laws, one a weight; their joint distribution function deals them evenly to slices. Weights count by powers of two: at most 41 classes.
     classes = tagged.groupBy(F.least(F.lit(20), F.greatest(F.lit(-20), F.round(F.log2("_quality")).cast("int"))).alias("c")).count().collect()
     rows = sum(r["count"] for r in classes)
@@ -72,33 +78,42 @@ def mix(df: DataFrame, quality: Column | None = None, weights: tuple[int, ...] =
     share = F.lit(0.0)
     for r in sorted(classes, key=lambda r: r["c"]):
         share = share + F.lit(r["count"] / rows) * (F.lit(1.0) - F.exp(-F.col("_key") * F.lit(2.0 ** r["c"])))
-    ranked = running_sum(tagged, ["_group"], F.floor(share * slices), [F.col("_key"), F.col("doc_id"), F.col("size")], F.col("size"), "_before", lambda t: water_fill(t, weights, cap))
+    ranked = running_sum(tagged, ["_group"], F.floor(share * slices), [F.col("_key"), F.col("_id"), F.col("size")], F.col("size") * F.col("_times"), "_before", lambda t: water_fill(t, weights, cap))
+    if times is not None:
+        chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_times - 1) div {_CHUNK}")))
+        inside = F.explode(F.sequence(F.col("_chunk") * _CHUNK, F.least(F.col("_times"), (F.col("_chunk") + 1) * _CHUNK) - 1))
+        ranked = ranked.withColumn("_chunk", chunk).withColumn("_nth", inside).withColumn("_before", F.col("_before") + F.col("_nth") * F.col("size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")
     copies = epochs + F.when(F.col("_before") + F.col("size") / 2 < rest, 1).otherwise(0)
-    return ranked.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).select(*kept, "size", "source_size", "target", "copies", "taken")
+    return ranked.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).select(*without(back, df.columns, _ADDED), *_ADDED)
 
 
 def with_quality(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """df with _quality from labels.quality; several labels of a document count as the best of them."""
-    best = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_best"))
-    found = df.join(best, df["doc_id"] == best["_id"], "left")
-    return found.withColumn("_quality", F.when(F.col("_best") == 1, GOOD).when(F.col("_best") == 0, BAD).otherwise(UNLABELLED)).drop("_id", "_best")
+    """df (with doc_id) and _quality, a weight from labels.quality; several labels of a document count as the best of them."""
+    best = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("best"))
+    weight = F.when(F.col("best") == 1, GOOD).when(F.col("best") == 0, BAD).otherwise(UNLABELLED)
+    return df.join(best, "doc_id", "left").withColumn("_quality", weight).drop("best")
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, each row as often as the mix takes it. Texts move once, to meet the decisions."""
-    keyed = row_keys(docs)
-    narrow = settle(with_quality(keyed.select("_file", "_row", "doc_id", "source", word_count(F.col("text")).alias("_words")), labels), "mix")
-    taken = mix(narrow, F.col("_quality"), size=F.col("_words")).where("copies > 0").select("_file", "_row", F.col("copies").alias("_copies"))
-    copied = keyed.join(settle(taken, "mix-taken"), ["_file", "_row"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return copied.select(*docs.columns)
+    """docs, each row as often as the mix takes it. Texts move once, to meet the decisions. Rows without a source are a source, those of size 0 are taken with the complete epochs."""
+    file, row, copies, copy = fresh(docs.columns, "_file", "_row", "_copies", "_copy")
+    keyed = row_keys(docs, file, row)
+    narrow = keyed.select(column(file).alias("file"), column(row).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("words"))
+    narrow = settle(with_quality(narrow, labels), "mix")
+    taken = mix(narrow, F.col("_quality"), size=F.col("words"), tie=place_of(F.col("file"), F.col("row")))
+    taken = taken.where("copies > 0").select(F.col("file").alias(file), F.col("row").alias(row), F.col("copies").alias(copies))
+    copied = keyed.join(settle(taken, "mix-taken"), [file, row])
+    return copied.select(*[column(c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)).drop(copy)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("_words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     narrow = settle(with_quality(docs, table(spark, sf_dir, "labels")), "mix")
-    return mix(narrow, F.col("_quality"), size=F.col("_words")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    # Documents that the law can't tell apart are ranked as one row, so null or repeated ids crowd no slice.
+    once = narrow.groupBy("doc_id", "source", "words", "_quality").agg(F.count("*").alias("times"))
+    return mix(once, F.col("_quality"), size=F.col("words"), times=F.col("times")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 OP2_SQL = r"""

@@ -76,22 +76,59 @@ def to_rows(rows: DataFrame, values: DataFrame, key: str, parts: int = 64) -> Da
     return dealt.join(met, [key, "_part"]).drop("_part", "_file", "_row")
 
 
-def row_keys(df: DataFrame) -> DataFrame:
-    """df with _file and _row, which name each row of its files; a df that is no plain scan of Parquet is settled first.
+def fresh(columns: list[str], *names: str) -> tuple[str, ...]:
+    """The names, each with underscores added until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return tuple(out)
 
-    Decisions made on narrow columns then reach their wide rows by one join, repeated rows included.
+
+def column(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_keys(df: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
+    """df with two columns that name each row of its files; a df that is no plain scan of Parquet is settled first.
+
+    Decisions made on narrow columns then reach their wide rows by one join, repeated rows included. The names must be new ones (see fresh()).
     """
-    base = drop_clashing(df, ["_file", "_row"])
+
+    def keyed(base: DataFrame) -> DataFrame:
+        at = base.metadataColumn("_metadata")
+        return base.select(*[column(c) for c in base.columns], at["file_path"].alias(file), at["row_index"].alias(row))
+
     try:
-        return base.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return keyed(df)
     except AnalysisException:
-        return settle(base, "rows").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return keyed(settle(df, "rows"))
+
+
+def place_of(file: Column, row: Column) -> Column:
+    """What tells any two rows of a table apart: the row's number and its file's name."""
+    return F.concat_ws("/", row.cast("string"), F.substring_index(file, "/", -1))
+
+
+def sheltered(df: DataFrame, **needed: Column) -> tuple[DataFrame, list[Column]]:
+    """df with its columns under names that no operator uses and the needed ones under theirs; and what gives the columns back."""
+    held = [column(c).alias(f"_in{i}") for i, c in enumerate(df.columns)]
+    return df.select(*held, *[e.alias(n) for n, e in needed.items()]), [F.col(f"_in{i}").alias(c) for i, c in enumerate(df.columns)]
+
+
+def without(columns: list[Column], names: list[str], replaced: list[str]) -> list[Column]:
+    """The columns but those with a replaced name, in any case."""
+    taken = {r.lower() for r in replaced}
+    return [c for c, n in zip(columns, names, strict=True) if n.lower() not in taken]
 
 
 def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns that an operator is about to add (any case), so that extra input columns never clash."""
     taken = {n.lower() for n in names}
-    return df.drop(*[c for c in df.columns if c.lower() in taken])
+    return df.select(*[column(c) for c in df.columns if c.lower() not in taken])
 
 
 def unit_hash(*cols: Column, seed: int) -> Column:

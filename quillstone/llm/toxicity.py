@@ -3,14 +3,17 @@
 The lexicon is learned: words that labelled toxic texts hold far more often than others, by a binomial test, counted
 over distinct texts (near copies share a min-hash of their word pairs and count once). A text's words run through the
 automaton of all terms at once; its states are sets of (trie node, edits), built as they are met, and most words leave
-it after two or three letters. Terms that a word of clean training texts comes close to match as spelled only.
+it after two or three letters. A word of clean training texts is no misspelling of a term; other words still are. Words
+that clean texts quote are judged by their uses outside quotation.
 
 Each distinct term adds its log-odds, less if misspelled, and less if all its uses stand in quotation: between quote
 signs within the window, or near a word of saying. The score is the logistic of the sum and the prior.
 
 Edge cases: null and empty texts score as the prior does; labels without a toxic value, or of unknown documents, teach
-nothing; several labels of a document count as the highest; without toxic labels no text matches; repeated rows are
-scored each; an empty table gives an empty table; other columns are ignored.
+nothing; several labels of a document count as the highest; without toxic labels no text matches; equal texts have equal
+scores, however often they repeat; of several terms that match a word the one with the fewest edits, then the one of
+higher log-odds counts; very long texts are scored whole, one at a time; an empty table gives an empty table; other
+columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -23,15 +26,15 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.llm.lm_scoring import crc_remainder
-from quillstone.llm.shared import settle, table
+from quillstone.llm.shared import drop_clashing, fresh, settle, table
 from quillstone.llm.words import LETTERED
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 TRAIN_ROWS = 20_000  # labelled rows to learn from, those of least hash
-TERMS = 4096  # of highest log-odds
 LEAST_TEXTS = 3
 MOST_CLEAN = 10  # toxic texts that a term needs for each clean one
 MOST_ODDS = 6.0
@@ -131,80 +134,112 @@ def _words(raw: bytes) -> list[bytes]:
     return raw.translate(_SPLIT).split()
 
 
-def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (text, toxic): words of toxic texts with the text's min-hash; words of other texts with their number of texts."""
-    clean: dict[bytes, int] = {}
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (text, toxic): text, toxic and the text's min-hash, which near copies share."""
+    for batch in batches:
+        keys = []
+        for text in batch.column(0).to_pylist():
+            words = _words((text or "").encode())
+            keys.append(min((zlib.crc32(a + b" " + b) for a, b in zip(words, words[1:], strict=False)), default=zlib.crc32(b" ".join(words))))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.int64())], names=["text", "toxic", "key"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], words_of: Callable[[str], set[str]]) -> Iterator[pa.RecordBatch]:
+    """Of (text, toxic): each word's number of toxic texts and of clean ones."""
+    sums: dict[str, list[int]] = {}
 
-    def rows(words: list[bytes], keys: list[int | None], counts: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([w.decode().lower() for w in words]), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["word", "text", "clean"])
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums)), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in (0, 1))], names=["word", "toxic", "clean"])
 
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = _words((text or "").encode())
-            found = set(words)
-            if toxic and found:
-                key = min((zlib.crc32(a + b" " + b) for a, b in zip(words, words[1:], strict=False)), default=zlib.crc32(words[0]))
-                yield rows(list(found), [key] * len(found), [0] * len(found))
-            else:
-                for w in found:
-                    clean[w] = clean.get(w, 0) + 1
-        if len(clean) > 200_000:
-            yield rows(list(clean), [None] * len(clean), list(clean.values()))
-            clean = {}
-    if clean:
-        yield rows(list(clean), [None] * len(clean), list(clean.values()))
+            for w in words_of(text):
+                sums.setdefault(w, [0, 0])[0 if toxic else 1] += 1
+        if len(sums) > 200_000:
+            yield rows()
+            sums = {}
+    if sums:
+        yield rows()
+
+
+def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _counted(batches, lambda text: {w.decode().lower() for w in _words(text.encode())})
+
+
+def _unquoted(terms: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Like _teach, of the terms alone and of their uses outside quotation."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Lexicon(terms, [0.0] * len(terms), frozenset(), 0.0), exact=True)
+        yield from _counted(batches, lambda text: {terms[t] for t, factor in scorer.terms(text.encode()).items() if factor == 1.0})
+
+    return find
 
 
 def _close_words(terms: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = FuzzyTrie(terms)
         for batch in batches:
-            near = {t for w in batch.column(0).to_pylist() for e, t in trie.match(w) if e}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.int64())], names=["term"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if any(e for e, _ in trie.match(w))], pa.string())], names=["word"])
 
     return find
 
 
 class Lexicon:
-    """terms with their log-odds; exact: the terms that match as spelled only; prior: log-odds of a text without terms."""
+    """terms with their log-odds; clean: words of clean texts, which match no other term; prior: log-odds of a text without terms."""
 
-    def __init__(self, terms: list[str], odds: list[float], exact: frozenset[int], prior: float):
-        self.terms, self.odds, self.exact, self.prior = terms, odds, exact, prior
+    def __init__(self, terms: list[str], odds: list[float], clean: frozenset[str], prior: float):
+        self.terms, self.odds, self.clean, self.prior = terms, odds, clean, prior
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, terms: int = TERMS) -> Lexicon:
-    """A lexicon from at most `rows` labelled documents outside the held-out fold."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
+    """A lexicon from at most `rows` labelled documents outside the held-out fold; its size is bounded by theirs."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.where(F.col("text").isNotNull()).join(sample, "doc_id").select("text", "toxic")
-    stats = settle(texts.mapInArrow(_teach, "word string, text long, clean long").groupBy("word").agg(F.count_distinct("text").alias("toxic"), F.sum("clean").alias("clean")), "toxic-words")
-    sums = {r["toxic"]: r["count"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(sample, "doc_id").select("text", "toxic")
+    keyed = texts.mapInArrow(_keyed, "text string, toxic int, key long")
+    once = settle(keyed.groupBy("key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxic-texts")
+    counted = "word string, toxic long, clean long"
+    added = [F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")]
+    stats = settle(once.mapInArrow(_teach, counted).groupBy("word").agg(*added), "toxic-words")
+    sums = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
     bad, good = sums.get(1, 0), sums.get(0, 0)
     prior = math.log((bad + 0.5) / (good + 0.5))
-    # The list is bounded by the sample: words that several of its toxic texts share.
     tried = stats.where(F.col("toxic") >= LEAST_TEXTS).count()
     share = bad / max(bad + good, 1)
-    found = []
-    for r in stats.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= MOST_CLEAN * F.col("clean"))).collect():
-        a, c = r["toxic"], r["clean"]
+
+    def unlikely(a: int, c: int) -> bool:
+        """Whether so many of a + c texts are toxic by chance in fewer than one of a hundred vocabularies."""
         chance = math.lgamma(a + c + 1) - math.lgamma(a + 1) - math.lgamma(c + 1) + a * math.log(max(share, 1e-9)) + math.log(max(tried, 1))
-        if chance < math.log(0.01):
+        return chance < math.log(0.01)
+
+    # Words that quotations in clean texts hold as well are counted once more, by their other uses.
+    enriched = stats.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") * good > F.col("clean") * bad)).collect()
+    counts = {r["word"]: (r["toxic"], r["clean"]) for r in enriched if unlikely(r["toxic"], r["clean"])}
+    doubtful = sorted(w for w, (a, c) in counts.items() if a < MOST_CLEAN * c)
+    if doubtful:
+        plain = {r["word"]: (r["toxic"], r["clean"]) for r in once.mapInArrow(_unquoted(doubtful), counted).groupBy("word").agg(*added).collect()}
+        counts.update({w: plain.get(w, (0, 0)) for w in doubtful})
+    found = []
+    for word, (a, c) in counts.items():
+        if a >= LEAST_TEXTS and a >= MOST_CLEAN * c and unlikely(a, c):
             odds = math.log((a + 0.5) / (bad + 1)) - math.log((c + UNSEEN) / (good + UNSEEN))
-            found.append((-min(odds, MOST_ODDS), r["word"]))
-    kept = sorted(found)[:terms]
-    names = [w for _, w in kept]
-    near = stats.where("clean > 0").select("word").mapInArrow(_close_words(names), "term long").distinct().collect()
-    return Lexicon(names, [-o for o, _ in kept], frozenset(r[0] for r in near), prior)
+            found.append((-min(odds, MOST_ODDS), word))
+    names = [w for _, w in sorted(found)]
+    near = stats.where("clean > 0").select("word").mapInArrow(_close_words(names), "word string").distinct().collect()
+    return Lexicon(names, [-o for o, _ in sorted(found)], frozenset(r[0] for r in near), prior)
 
 
 class Scorer:
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.trie = lexicon, FuzzyTrie(lexicon.terms)
+    def __init__(self, lexicon: Lexicon, exact: bool = False):
+        self.lexicon, self.trie, self.exact = lexicon, FuzzyTrie(lexicon.terms), exact
         self.seen: set[bytes] = set()
         self.hits: dict[bytes, tuple[int, int]] = {}
 
     def find(self, word: bytes) -> tuple[int, int] | None:
-        return next((m for m in self.trie.match(word.decode().lower()) if not m[0] or m[1] not in self.lexicon.exact), None)
+        spelled = word.decode().lower()
+        as_spelled = self.exact or spelled in self.lexicon.clean
+        return next((m for m in self.trie.match(spelled) if not m[0] or not as_spelled), None)
 
     def terms(self, raw: bytes) -> dict[int, float]:
         """Terms in a text and the factor of each: its best use."""
@@ -247,27 +282,27 @@ class Scorer:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def _scored(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scored(lexicon: Lexicon, names: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             found = [scorer.score(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=[*batch.schema.names, "_score", "_terms"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=[*batch.schema.names, *names])
 
     return score
 
 
-def with_scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs (with text) and _score, _terms."""
-    kept = docs.drop("_score", "_terms")
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(_scored(lexicon), f"{names}, _score double, _terms long")
+def with_scores(docs: DataFrame, lexicon: Lexicon, score: str = "_score", terms: str = "_terms") -> DataFrame:
+    """docs (with text) and its score and number of terms, in columns of the names given; columns of these names are replaced."""
+    kept = drop_clashing(docs, [score, terms])
+    return kept.mapInArrow(_scored(lexicon, (score, terms)), T.StructType([*kept.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(terms, T.LongType())]))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score threshold or more."""
-    return with_scores(docs, learn(docs, labels)).where(F.col("_score") < threshold).select(*docs.columns)
+    score, terms = fresh(docs.columns, "_score", "_terms")
+    return with_scores(docs, learn(docs, labels), score, terms).where(F.col(score) < threshold).drop(score, terms)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
