@@ -5,12 +5,14 @@ match that ends at each word is tracked: a match of `window` words or more is an
 windows; an item of fewer words is one window, found through the suffix links. Only runs of words that all occur in
 some item can match, so those are found first, vectorised, and the rest is skipped without loss.
 
-Items are dealt into blocks of bounded size; each block's automaton passes over all documents in turn, so neither the
-driver nor a task holds more than one block however large the benchmark grows.
+Items are dealt into blocks of bounded size. With several, each block's automaton passes over all documents in a job of
+its own and the hits of all blocks are merged before anything is decided, so neither the driver nor a task holds more
+than one block however large the benchmark grows, and results don't depend on the blocks' size.
 
 Edge cases: null or empty texts have no words and no hits; items without words are never found; words that only items
-of null id hit are hit, though no item is named; repeated items and documents count as they stand; no items, or no documents, give no hits; input columns named like an added one are
-replaced.
+of null id hit are hit, though no item is named; repeated items and documents count as they stand; no items, or no documents, give no hits; input columns
+named like an added one are replaced, others kept; a very long text is read whole, its words one block of rows; a null
+text passes.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.shared import drop_clashing, table
+from quillstone.llm.shared import column, drop_clashing, fresh, row_keys, settle, shared_path, table
 from quillstone.llm.words import LETTERED, hash_words, row_blocks, string_buffers
 
 WINDOW = 10
@@ -162,8 +164,8 @@ class Matcher:
         return found
 
 
-def _merged(old: list[int], new: list[int]) -> list[int]:
-    pairs = sorted(zip(old[::2] + new[::2], old[1::2] + new[1::2], strict=True))
+def _merged(spans: list[int]) -> list[int]:
+    pairs = sorted(zip(spans[::2], spans[1::2], strict=True))
     out: list[int] = []
     for lo, hi in pairs:
         if out and lo <= out[-1]:
@@ -173,50 +175,86 @@ def _merged(old: list[int], new: list[int]) -> list[int]:
     return out
 
 
-def _finder(items: list[tuple[int, str]], window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _finder(items: list[tuple[int, str]] | None, window: int, leave_out: tuple[str, ...] = ()) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds n_words, hit_spans and hit_items; without items it merges the hits that the batches bring."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, window)
+        matcher = None if items is None else Matcher(items, window)
         for batch in batches:
             names = batch.schema.names
             data, offsets = string_buffers(batch.column(names.index("text")))
             counts: list[np.ndarray] = [np.zeros(0, np.int64)]
-            found: dict[int, tuple[list[int], set[int]]] = {}
+            spans: list[list[int]] = [[]] * batch.num_rows
+            hits: list[list[int]] = [[]] * batch.num_rows
             for lo, hi in row_blocks(offsets):
                 h, row, _, _ = hash_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], LETTERED)
                 counts.append(np.bincount(row, minlength=hi - lo))
-                found.update({lo + r: x for r, x in matcher.match(h, row, hi - lo).items()})
-            spans: list[list[int]] = [[]] * batch.num_rows
-            hits: list[list[int]] = [[]] * batch.num_rows
-            if "hit_spans" in names:
-                spans, hits = batch.column(names.index("hit_spans")).to_pylist(), batch.column(names.index("hit_items")).to_pylist()
-            for r, (s, i) in found.items():
-                spans[r], hits[r] = _merged(spans[r], s), sorted({*hits[r], *i} - {_NO_ID})
-            kept = [n for n in names if n not in ("n_words", "hit_spans", "hit_items")]
-            cols = [batch.column(names.index(n)) for n in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(counts)), pa.array(spans, pa.list_(pa.int64())), pa.array(hits, pa.list_(pa.int64()))], names=[*kept, "n_words", "hit_spans", "hit_items"])
+                if matcher:
+                    for r, (s, i) in matcher.match(h, row, hi - lo).items():
+                        spans[lo + r], hits[lo + r] = s, sorted(i - {_NO_ID})
+            if not matcher:
+                spans = [_merged(x or []) for x in batch.column(names.index("hit_spans")).to_pylist()]
+                hits = [sorted({*(x or [])}) for x in batch.column(names.index("hit_items")).to_pylist()]
+            kept = [n for n in names if n not in _FOUND.names and n not in leave_out]
+            found = [pa.array(np.concatenate(counts)), pa.array(spans, pa.list_(pa.int64())), pa.array(hits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in kept), *found], names=[*kept, *_FOUND.names])
 
     return find
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """(item_id, text) of all items, in blocks of about block_bytes; at least one block."""
-    sized = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = 1 + int((sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
-    for k in range(blocks):
-        part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield [(_NO_ID if r[0] is None else r[0], r[1]) for r in part.collect()]
+def _sized(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def block_count(items: DataFrame, block_bytes: int) -> int:
+    return 1 + int((_sized(items).agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
+
+
+def item_block(items: DataFrame, k: int, blocks: int) -> list[tuple[int, str]]:
+    """(item_id, text) of the items of one of so many blocks."""
+    part = _sized(items) if blocks == 1 else _sized(items).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    return [(_NO_ID if r[0] is None else r[0], r[1]) for r in part.collect()]
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, hit_spans (first word and end of each merged span, flat) and hit_items (sorted item ids)."""
-    out = drop_clashing(docs, _FOUND.names)
-    schema = T.StructType([*out.schema.fields, *_FOUND.fields])
-    for block in item_blocks(items, block_bytes):
-        out = out.mapInArrow(_finder(block, window), schema)
-    return out
+    """docs with n_words, hit_spans (first word and end of each merged span, flat) and hit_items (sorted item ids).
+
+    Each block of items passes over the documents in a job of its own, whose hits are written; then they are merged.
+    """
+    base, blocks = drop_clashing(docs, _FOUND.names), block_count(items, block_bytes)
+    schema = T.StructType([*base.schema.fields, *_FOUND.fields])
+    if blocks == 1:
+        return base.mapInArrow(_finder(item_block(items, 0, 1), window), schema)
+    file, row = fresh([*base.columns, *_FOUND.names], "_file", "_row")
+    keyed = row_keys(base, file, row)
+    path = shared_path(docs.sparkSession, "decontamination-hits")
+    narrow = T.StructType([T.StructField(file, T.StringType()), T.StructField(row, T.LongType()), *_FOUND.fields])
+    for k in range(blocks):
+        part = keyed.select(column(file), column(row), "text").mapInArrow(_finder(item_block(items, k, blocks), window, ("text",)), narrow)
+        part.where("size(hit_spans) > 0").drop("n_words").write.mode("append").parquet(path)
+    hits = docs.sparkSession.read.schema(part.drop("n_words").schema).parquet(path)
+    merged = hits.groupBy(file, row).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hit_spans", "hit_items")])
+    return keyed.join(merged, [file, row], "left").select(*[column(c) for c in base.columns], "hit_spans", "hit_items").mapInArrow(_finder(None, window), schema)
+
+
+def cut_out(text: bytes, spans: list[int]) -> bytes:
+    """text without the words of the spans and what stands between them."""
+    raw = np.frombuffer(text, np.uint8)
+    _, _, s, e = hash_words(raw, np.array([0, len(raw)]), LETTERED)
+    pieces, done = [], 0
+    for a, b in zip(spans[::2], spans[1::2], strict=True):
+        pieces.append(text[done : int(s[a])])
+        done = int(e[b - 1])
+    return b"".join([*pieces, text[done:]])
+
+
+def _covered(spans: list[int]) -> int:
+    return sum(spans[1::2]) - sum(spans[::2])
 
 
 def _cutter(items: list[tuple[int, str]], window: int, coverage: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cuts and drops with one block of items, in one pass."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, window)
         for batch in batches:
@@ -225,45 +263,71 @@ def _cutter(items: list[tuple[int, str]], window: int, coverage: float) -> Calla
             changed: dict[int, str | None] = {}
             for lo, hi in row_blocks(offsets):
                 part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                h, row, s, e = hash_words(part, offs, LETTERED)
-                first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))])
+                h, row, _, _ = hash_words(part, offs, LETTERED)
+                count = np.bincount(row, minlength=hi - lo)
                 for r, (spans, _) in matcher.match(h, row, hi - lo).items():
-                    text, words = part[offs[r] : offs[r + 1]].tobytes(), int(first[r + 1] - first[r])
-                    if sum(b - a for a, b in zip(spans[::2], spans[1::2], strict=True)) >= coverage * words:
+                    if _covered(spans) >= coverage * int(count[r]):
                         changed[lo + r] = None
                         continue
+                    text = part[offs[r] : offs[r + 1]].tobytes()
                     while spans:  # what a cut joins can match again
-                        base = int(first[r]) if lo + r not in changed else 0
-                        begin = int(offs[r]) if lo + r not in changed else 0
-                        pieces, done = [], 0
-                        for a, b in zip(spans[::2], spans[1::2], strict=True):
-                            pieces.append(text[done : int(s[base + a]) - begin])
-                            done = int(e[base + b - 1]) - begin
-                        text = b"".join([*pieces, text[done:]])
-                        changed[lo + r] = text.decode()
+                        text = cut_out(text, spans)
                         raw = np.frombuffer(text, np.uint8)
-                        h2, row2, s, e = hash_words(raw, np.array([0, len(raw)]), LETTERED)
+                        h2, row2, _, _ = hash_words(raw, np.array([0, len(raw)]), LETTERED)
                         spans = matcher.match(h2, row2, 1).get(0, ([], set()))[0]
-                    h, row, s, e = hash_words(part, offs, LETTERED)
+                    changed[lo + r] = text.decode()
             if not changed:
                 yield batch
                 continue
-            column = batch.column(at).to_pylist()
+            texts = batch.column(at).to_pylist()
             for r, text in changed.items():
-                column[r] = text
+                texts[r] = text
             kept = pa.array([r not in changed or changed[r] is not None for r in range(batch.num_rows)])
-            yield batch.set_column(at, batch.schema.field(at), pa.array(column, batch.schema.field(at).type)).filter(kept)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(kept)
 
     return cut
 
 
+def _shorter(coverage: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (file, row, text, n_words, hit_spans): the text without its spans, null if they cover too much of it."""
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                None if coverage is not None and _covered(spans) >= coverage * n else cut_out(text.encode(), spans).decode()
+                for text, n, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "n_words", "hit_spans")), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("row"), pa.array(texts, pa.string())], names=["file", "row", "text"])
+
+    return shorten
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the passages of test items: spans of a window or more are cut out of a text until none is left; a document of which such spans cover `coverage` or more is dropped."""
-    out = docs
-    blocks = list(item_blocks(items, block_bytes))
-    for block in blocks if len(blocks) == 1 else blocks * 2:  # with several blocks, a later one's cut can join an earlier one's passage
-        out = out.mapInArrow(_cutter(block, window, coverage), docs.schema)
-    return out
+    """docs without the passages of test items.
+
+    A document of whose words the spans of all items cover `coverage` or more is dropped. Else all spans are cut out of
+    its text, and again those that a cut has joined, until none is left. The result is the same for every block_bytes.
+    """
+    blocks = block_count(items, block_bytes)
+    if blocks == 1:
+        return docs.mapInArrow(_cutter(item_block(items, 0, 1), window, coverage), docs.schema)
+    file, row, new, cut_too = fresh(docs.columns, "_file", "_row", "_new", "_cut")
+    keyed = row_keys(docs, file, row)
+    todo = keyed.select(column(file).alias("file"), column(row).alias("row"), "text")
+    changed, share = None, coverage
+    while True:
+        hits = find_hits(todo, items, window, block_bytes).where("size(hit_spans) > 0").select("file", "row", "text", "n_words", "hit_spans")
+        cut = settle(hits.mapInArrow(_shorter(share), "file string, row long, text string"), "decontamination-cut")
+        if changed is None:
+            changed = cut
+        elif cut.isEmpty():
+            break
+        else:
+            changed = settle(changed.join(cut, ["file", "row"], "left_anti").unionByName(cut), "decontamination-cut")
+        todo, share = cut.where("text IS NOT NULL"), None
+    told = changed.select(F.col("file").alias(file), F.col("row").alias(row), F.col("text").alias(new), F.lit(True).alias(cut_too))
+    met = keyed.join(told, [file, row], "left").where(F.col(cut_too).isNull() | F.col(new).isNotNull())
+    return met.select(*[F.coalesce(new, column(c)).alias(c) if c == "text" else column(c) for c in docs.columns])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,55 @@ def test_decontaminate(spark, make):
         assert "before" in got[n + 1] and "after" in got[n + 1]
 
 
+def plain(text, items, window, coverage=d.COVERAGE):
+    """What decontaminate() states, word by word; None if the document goes."""
+    first = True
+    while text is not None:
+        spans = [m.span() for m in WORD.finditer(text.translate({c: c + 32 for c in range(65, 91)}))]
+        w, hit = words(text), set()
+        for _, t in items:
+            v = words(t)
+            n = min(len(v), window)
+            for j in range(len(v) - n + 1 if v else 0):
+                for i in range(len(w) - n + 1):
+                    if w[i : i + n] == v[j : j + n]:
+                        hit |= set(range(i, i + n))
+        if not hit:
+            return text
+        if first and len(hit) >= coverage * len(w):
+            return None
+        first, out, done, i = False, "", 0, 0
+        while i < len(w):
+            if i in hit:
+                out += text[done : spans[i][0]]
+                while i in hit:
+                    done = spans[i][1]
+                    i += 1
+            i += 1
+        text = out + text[done:]
+    return None
+
+
+def test_every_block_size_gives_the_same(spark, make):
+    rng = random.Random(8)
+    parts = [" ".join(f"p{k}x{i}" for i in range(12)) for k in range(4)]
+    items = list(enumerate(parts)) + [(9, " ".join(f"p{k}x{i}" for k, i in [(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (2, 7), (2, 8), (2, 9), (2, 10), (2, 11)]))]
+    texts = ["t1 t2 t3 t4 t5 t6 t7 " + " ".join(parts[k][: parts[k].rindex(" ")] for k in range(4)), "t1 t2 " * 9 + parts[0] + " t9", "nothing at all", None]
+    for _ in range(30):
+        some = []
+        for _ in range(rng.randrange(1, 6)):
+            p = rng.choice(parts).split()
+            some.append(rng.choice([" ".join(p), " ".join(p[:5]), " ".join(p[7:]), "u v w " * rng.randrange(9)]))
+        texts.append(" ".join(some))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    wanted = {i: t for i, t in enumerate(plain(t, items, 10) for t in texts) if t is not None or texts[i] is None}
+    assert 0 not in wanted
+    for size in (20, 90, 200, 1 << 20):
+        docs = make(texts, clash=True)
+        got = d.decontaminate(docs, table, block_bytes=size).collect()
+        assert {r["doc_id"]: r["text"] for r in got} == wanted and all(r["_key"] == r["size"] == "x" for r in got)
+
+
 def test_items_without_id(spark, make):
     text = " ".join(f"t{i}" for i in range(12))
     got = d.find_hits(make([f"x {text} y"]), spark.createDataFrame([(None, text)], "item_id long, text string")).first()
