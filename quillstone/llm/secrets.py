@@ -1,26 +1,31 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is layer 0. Every layer is scanned for secrets, then unwrapped: lines with URL or Unicode escapes, base64 runs
-that decode to text (UTF-8 or UTF-16) or to gzip or zlib data, whose content is inflated. Each result is a new layer
-unless the same content from the same places was seen before, which ends cycles; the worklist runs until no layer is left. Every
-character of a layer knows the stretch of the original text it came from, so spans always refer to the original.
-Inflated content is scanned in windows that overlap, so a small text can't fill the memory.
+(over several lines, at each of the four places where an encoding glued to other letters can begin) read as UTF-8 or
+UTF-16, and gzip or zlib data among the bytes of either, all members, whose content is inflated. Each result is a new
+layer unless the same content from the same places was seen before, which ends cycles; the worklist runs until no layer
+is left. Every character of a layer knows the stretch of the original text it came from, so spans always refer to the
+original. Bytes that are no UTF-8 become characters of their own, so what stands beside them is scanned.
+
+Inflated content is scanned in windows that overlap by as much as an encoded run at their end is long, so a small text
+can't fill the memory and no run of up to 64 MB is cut.
 
 Kinds and patterns are in KINDS. Spans are of whole matches in code points, end exclusive.
 
 Edge cases: null and empty texts have no spans; equal spans found in several layers count once; rows that repeat are
-scanned each; an empty table gives an empty table; other columns are ignored.
+scanned each; of spans of one kind that start together the shorter comes first; very long texts are scanned whole, one at
+a time; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +39,42 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?a:((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run is whole from its first character on, so shorter ones needn't match
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_RUN = r"[A-Za-z0-9+/_-]"
+_BASE64 = re.compile(rf"{_RUN}{{16,}}(?:\r?\n[ \t]*{_RUN}{{4,}})*")  # lines of one encoding are one run
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
-_WINDOW, _OVERLAP = 1 << 24, 1 << 16
+_BYTE = re.compile(rb"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})")
+_TOKEN = re.compile(r"\S*(?:%|\\x|\\u00)[0-9A-Fa-f]{2}\S*")
+_GZIP, _ZLIB = b"\x1f\x8b\x08", re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+_WINDOW, _OVERLAP, _LONGEST = 1 << 22, 1 << 16, 1 << 26
+_STANDARD = str.maketrans("-_", "+/", "\r\n \t")
 _SPANS = "array<struct<kind: string, start: long, end: long, path: string>>"
 
-Layer = tuple[str, list[int] | None, list[int] | None, str]  # text; start and end in the original of each character, None for the original; how it was unwrapped
+
+class Layer:
+    """Text and where each character came from: starts and ends in the original, one number for all characters of inflated data, None for the original itself."""
+
+    __slots__ = ("text", "starts", "ends", "path")
+
+    def __init__(self, text: str, starts: array | int | None, ends: array | int | None, path: str):
+        self.text, self.starts, self.ends, self.path = text, starts, ends, path
+
+    def start(self, i: int) -> int:
+        s = self.starts
+        return i if s is None else s if isinstance(s, int) else s[i]
+
+    def end(self, i: int) -> int:
+        """The end of character i."""
+        e = self.ends
+        return i + 1 if e is None else e if isinstance(e, int) else e[i]
+
+    def identity(self) -> tuple:
+        """Names the content and the places it came from; equal layers hold equal spans."""
+        content = hashlib.sha256(self.text.encode(errors="surrogatepass")).digest()
+        if isinstance(self.starts, int):
+            return content, self.starts, self.ends
+        places = hashlib.sha256(self.starts)
+        places.update(self.ends)
+        return content, places.digest()
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -54,23 +89,21 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _unescape(m: re.Match) -> str | None:
-    e = m[0]
-    try:
-        if e[0] == "%":
-            return bytes.fromhex(e.replace("%", "")).decode()
-        digits = e[2:].strip("{};xX") if e[0] == "\\" else e[2:-1]
-        code = int(digits.lstrip("xX"), 16 if e[0] == "\\" or e[2] in "xX" else 10)
-        return chr(code) if code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else None
-    except ValueError:
-        return None
+def _unescape(e: str) -> str | None:
+    """The character of one escape other than percent signs."""
+    digits = e[2:].strip("{};xX") if e[0] == "\\" else e[2:-1]
+    code = int(digits.lstrip("xX"), 16 if e[0] == "\\" or e[2] in "xX" else 10)
+    return chr(code) if code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else None
+
+
+def _characters(raw: bytes) -> list[tuple[str, int]]:
+    """(character, bytes) of bytes read as UTF-8, one that isn't as Latin-1."""
+    return [(chr(ord(c) - 0xDC00), 1) if 0xDC80 <= ord(c) <= 0xDCFF else (c, len(c.encode())) for c in raw.decode(errors="surrogateescape")]
 
 
 def _lines(layer: Layer) -> Iterator[Layer]:
     """Lines with escapes, unescaped once."""
-    text, starts, ends, path = layer
-    if "%" not in text and "\\" not in text and "&#" not in text:
-        return
+    text, path = layer.text, f"{layer.path}/escape"
     done = 0
     for first in _ESCAPE.finditer(text):
         if first.start() < done:
@@ -79,129 +112,155 @@ def _lines(layer: Layer) -> Iterator[Layer]:
         hi = text.find("\n", first.start())
         hi = done = len(text) if hi < 0 else hi
         parts: list[str] = []
-        a: list[int] = []
-        b: list[int] = []
-        at = lo
+        starts, ends = array("q"), array("q")
+        at, changed = lo, False
+
+        def put(piece: str, a: int, b: int) -> None:
+            """piece stands for the characters from a to b."""
+            parts.append(piece)
+            starts.extend([layer.start(a)] * len(piece))
+            ends.extend([layer.end(b - 1)] * len(piece))
 
         def plain(upto: int) -> None:
             parts.append(text[at:upto])
-            a.extend(range(at, upto) if starts is None else starts[at:upto])
-            b.extend(range(at + 1, upto + 1) if ends is None else ends[at:upto])
+            starts.extend(map(layer.start, range(at, upto)))
+            ends.extend(map(layer.end, range(at, upto)))
 
-        changed = False
         for m in _ESCAPE.finditer(text, lo, hi):
-            got = _unescape(m)
-            if got is None:
-                continue
-            plain(m.start())
-            s = m.start() if starts is None else starts[m.start()]
-            e = m.end() if ends is None else ends[m.end() - 1]
-            if m[0][0] == "%":  # each character of a run has its own escapes
+            e = m[0]
+            if e[0] == "%":  # each character of a run has its own escapes
+                plain(m.start())
                 k = m.start()
-                for c in got:
-                    n = 3 * len(c.encode())
-                    a.append(k if starts is None else starts[k])
-                    b.append(k + n if ends is None else ends[k + n - 1])
-                    k += n
+                for c, n in _characters(bytes.fromhex(e.replace("%", ""))):
+                    put(c, k, k + 3 * n)
+                    k += 3 * n
+            elif (got := _unescape(e)) is not None:
+                plain(m.start())
+                put(got, m.start(), m.end())
             else:
-                a.extend([s] * len(got))
-                b.extend([e] * len(got))
-            parts.append(got)
+                continue
             at, changed = m.end(), True
         if changed:
             plain(hi)
-            yield "".join(parts), a, b, f"{path}/escape"
+            if isinstance(layer.starts, int):
+                yield Layer("".join(parts), layer.starts, layer.ends, path)
+            else:
+                yield Layer("".join(parts), starts, ends, path)
 
 
-def _inflated(data: bytes) -> Iterator[bytes]:
-    """Content of gzip or zlib data in windows, each beginning with the end of the one before; ends where the data are damaged."""
-    z, tail = zlib.decompressobj(wbits=47), b""
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Content of gzip members (or zlib data) one after the other; ends where the data are damaged."""
+    z, data = zlib.decompressobj(wbits=47), b""
     try:
-        while True:
-            part = z.decompress(data, _WINDOW)
-            data = z.unconsumed_tail
-            if not part:
-                return
-            yield tail + part
-            tail = (tail + part)[-_OVERLAP:]
+        for chunk in chunks:
+            data += chunk
+            while data:
+                part = z.decompress(data, _WINDOW)
+                data = z.unconsumed_tail
+                if z.eof:
+                    data = z.unused_data
+                    at = data.find(_GZIP)
+                    data = data[at:] if at >= 0 else b""
+                    z = zlib.decompressobj(wbits=47)
+                if part:
+                    yield part
+                elif not data:
+                    break
     except zlib.error:
         return
 
 
-def _as_text(raw: bytes) -> tuple[str, int] | None:
-    """(text, bytes a unit: 1 for UTF-8, 2 for UTF-16) if raw reads as text."""
-    for code, unit in (("utf-8", 1), ("utf-16-le", 2)):
-        if unit == 2 and (len(raw) % 2 or raw[1::2].count(0) * 4 < len(raw)):
-            continue
-        try:
-            s = raw.decode(code)
-        except UnicodeDecodeError:
-            continue
-        if all(c.isprintable() or c in "\t\r\n" for c in s):
-            return s, unit
-    return None
+def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The chunks in windows, each beginning with the end of the one before: all of a run that may go on, at least _OVERLAP."""
+    tail = b""
+    for chunk in chunks:
+        tail += chunk
+        yield tail
+        run = re.search(rb"[A-Za-z0-9+/_=%\\\r\n \t-]*\Z", tail[-_LONGEST:])
+        tail = tail[-min(len(tail), max(_OVERLAP, len(run[0]))) :]
+
+
+def _of_stream(chunks: Iterator[bytes], lo: int, hi: int, path: str) -> Iterator[Layer]:
+    """Layers of inflated data, all of which came from one stretch of the original; data that are compressed again are inflated as they come."""
+    first = next(chunks, b"")
+    while first and len(first) < 3 and (more := next(chunks, b"")):
+        first += more
+    whole = chain([first], chunks)
+    if _ZLIB.match(first):
+        yield from _of_stream(_inflated(whole), lo, hi, f"{path}/inflate")
+        return
+    for window in _windows(whole):
+        for s, _, _ in _texts(window):
+            yield Layer(s, lo, hi, path)
+        for m in _ZLIB.finditer(window):
+            yield from _of_stream(_inflated(iter([window[m.start() :]])), lo, hi, f"{path}/inflate")
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """(text, bytes a unit: 1 for UTF-8, 2 for UTF-16, first byte) of each reading of the bytes; any other byte becomes a character of its own."""
+    yield raw.decode(errors="surrogateescape"), 1, 0
+    for odd in (0, 1):
+        pairs = raw[odd : len(raw) - (len(raw) - odd) % 2]
+        if len(pairs) >= 12 and pairs[1::2].count(0) * 4 >= len(pairs):
+            yield pairs.decode("utf-16-le", "replace"), 2, odd
+
+
+def _promising(s: str) -> bool:
+    return bool(scan(s) or _BASE64.search(s) or _ESCAPE.search(s))
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
     yield from _lines(layer)
-    text, starts, ends, path = layer
+    text = layer.text
+    if "%" in text or "\\" in text:
+        for m in _TOKEN.finditer(text):  # escaped bytes of compressed data
+            raw = _BYTE.sub(lambda b: bytes([int(b[1] or b[2] or b[3], 16)]), m[0].encode(errors="replace"))
+            for z in _ZLIB.finditer(raw):
+                yield from _of_stream(_inflated(iter([raw[z.start() :]])), layer.start(m.start()), layer.end(m.end() - 1), f"{layer.path}/escape/inflate")
     for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        first = m.start()
-        origin = lambda i: i if starts is None else starts[i]
-        limit = lambda i: i + 1 if ends is None else ends[i]
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-            lo, hi = origin(first), limit(m.end() - 1)
-            for window in _inflated(raw):
-                s = window.decode(errors="replace")
-                yield s, [lo] * len(s), [hi] * len(s), f"{path}/base64/inflate"
-            continue
-        found = _as_text(raw)
-        if not found:
-            continue
-        s, unit = found
-        a, b, at = [], [], 0
-        for c in s:
-            n = len(c.encode()) if unit == 1 else 2 * (1 + (ord(c) > 0xFFFF))
-            a.append(origin(first + at * 8 // 6))
-            b.append(limit(first + (8 * (at + n) - 1) // 6))
-            at += n
-        yield s, a, b, f"{path}/base64"
-
-
-def _identity(layer: Layer) -> tuple[bytes, bytes]:
-    """Names a layer's content and the places it came from; equal layers hold equal spans."""
-    s, starts, ends, _ = layer
-    if starts[:1] == starts[-1:] and ends[:1] == ends[-1:]:  # inflated: one place for all (places never fall)
-        starts, ends = starts[:1], ends[:1]
-    places = hashlib.sha256(array("q", starts))
-    places.update(array("q", ends))
-    return hashlib.sha256(s.encode(errors="surrogatepass")).digest(), places.digest()
+        run = m[0]
+        places = range(m.start(), m.end()) if "\n" not in run else [m.start() + i for i, c in enumerate(run) if c not in "\r\n \t"]
+        letters = run.translate(_STANDARD)
+        for skip in range(4):  # the encoding may begin anywhere in the run
+            body = letters[skip:]
+            if len(body) % 4 == 1:
+                body = body[:-1]
+            if len(body) < 12:
+                continue
+            raw = base64.b64decode(body + "=" * (-len(body) % 4))
+            for z in _ZLIB.finditer(raw):
+                yield from _of_stream(_inflated(iter([raw[z.start() :]])), layer.start(places[skip + z.start() * 4 // 3]), layer.end(places[-1]), f"{layer.path}/base64/inflate")
+            for s, unit, byte in _texts(raw):
+                if not _promising(s):
+                    continue
+                if isinstance(layer.starts, int):
+                    yield Layer(s, layer.starts, layer.ends, f"{layer.path}/base64")
+                    continue
+                starts, ends, at = array("q"), array("q"), byte
+                for c in s:
+                    n = 2 * (1 + (ord(c) > 0xFFFF)) if unit == 2 else 1 if 0xDC80 <= ord(c) <= 0xDCFF else len(c.encode())
+                    starts.append(layer.start(places[skip + at * 8 // 6]))
+                    ends.append(layer.end(places[skip + min((8 * (at + n) - 1) // 6, len(body) - 1)]))
+                    at += n
+                yield Layer(s, starts, ends, f"{layer.path}/base64")
 
 
 def secrets_in(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, path) of all secrets, sorted by start, kind and end; path is empty for those of the text itself."""
     found: dict[tuple[int, int, int], str] = {k: "" for k in scan(text)}
-    seen: set[tuple[bytes, bytes]] = set()
-    todo = [_unwrapped((text, None, None, ""))]
+    seen: set[tuple] = set()
+    todo = [_unwrapped(Layer(text, None, None, ""))]
     while todo:
         layer = next(todo[-1], None)
         if layer is None:
             todo.pop()
             continue
-        s, starts, ends, path = layer
-        key = _identity(layer)
+        key = layer.identity()
         if key in seen:
             continue
         seen.add(key)
-        for kind, a, b in scan(s):
-            found.setdefault((kind, starts[a], ends[b - 1]), path)
+        for kind, a, b in scan(layer.text):
+            found.setdefault((kind, layer.start(a), layer.end(b - 1)), layer.path)
         todo.append(_unwrapped(layer))
     return sorted(((k, a, b, p) for (k, a, b), p in found.items()), key=lambda x: (x[1], x[0], x[2]))
 

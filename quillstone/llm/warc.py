@@ -6,7 +6,8 @@ end of the file, and owns the records that start inside its range, reading past
 
 Edge cases: null html is an empty payload; null urls are written as urn:absent; a null page_id has no number in its
 record and comes back null; rows with equal page_id and payload are all responses if theirs is the largest; an empty
-table gives no archive and an empty result; other input columns are ignored.
+table gives no archive and an empty result; other input columns are ignored; a record of any length is read whole by the
+task that owns its start.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from quillstone.llm.shared import settle, shared_path, table
 
 REVISIT_FROM = 1000
 SPLIT_BYTES = 8 << 20
+MOST_TASKS = 1 << 15
 _MAGIC = b"\x1f\x8b\x08"
 _STEP = 1 << 18
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -190,8 +192,10 @@ def _reader(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 def read_archives(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records of the archives of a manifest (archive, bytes), read by ranges of split_bytes."""
-    ranges = manifest.select("archive", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")).withColumn("length", F.lit(split_bytes).cast("long"))
-    return ranges.repartition(F.col("archive"), F.col("start")).mapInArrow(_reader(folder), _READ_SCHEMA)
+    step = F.lit(split_bytes).cast("long")
+    ranges = manifest.select("archive", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, step)).alias("start")).withColumn("length", step)
+    tasks = min(max(ranges.count(), 1), MOST_TASKS)  # a fixed number, as their few bytes would else be read by one task
+    return ranges.repartition(tasks).mapInArrow(_reader(folder), _READ_SCHEMA)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,18 @@ def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     folder = shared_path(spark, "warc-empty")
     assert warc.read_archives(warc.write_archives(warc.with_record_types(df), folder), folder).count() == 0
+
+
+def test_many_tasks_read_the_ranges(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, "u", "".join(chr(rng.randrange(33, 1000)) for _ in range(3000))) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    folder = shared_path(spark, "warc-ranges")
+    got = warc.read_archives(warc.write_archives(warc.with_record_types(df), folder), folder, 20_000).select("page_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(60)) and len({r["task"] for r in got}) > 8
+
+
+def test_extra_columns(spark):
+    df = spark.createDataFrame([(1, "u", "x" * 2000, "a", 5), (2, "u", "x" * 2000, "b", 6)], "page_id long, url string, html string, _first string, payload_bytes int")
+    assert sorted(map(tuple, warc.with_record_types(df).select("page_id", "payload_bytes", "record_type", "refers_to").collect())) == [(1, 2000, "revisit", 2), (2, 2000, "response", None)]
