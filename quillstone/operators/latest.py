@@ -10,21 +10,16 @@ def latest(versions: DataFrame, deletes: bool = True) -> DataFrame:
     """One row for each live _id: its newest doc and _raw, and _ord of its first version (since its last deletion).
 
     A filter on the result runs after the choice, so an old version never comes back; filters on _id alone are pushed
-    below it. deletes=False says that no version is a deletion, which saves gathering each id's orders. Only the text of a
+    below it. deletes=False says that no version is a deletion, which saves finding each id's last one. Only the text of a
     version is shuffled; the VARIANT is read from it again afterwards, where it is used.
     """
     if not deletes:
         one = versions.groupBy("_id").agg(F.max_by("_raw", "_ord").alias("_raw"), F.min("_ord").alias("_ord"))
         return one.select("_id", F.parse_json("_raw").alias("doc"), "_raw", "_ord")
-    gone = F.max(F.when(F.col("_kind") == "delete", F.col("_ord")))
-    grouped = versions.groupBy("_id").agg(
-        F.max_by(F.struct("_raw", "_kind"), "_ord").alias("_new"),
-        gone.alias("_gone"),
-        F.min("_ord").alias("_least"),
-        F.collect_list(F.when(F.col("_kind") != "delete", F.col("_ord"))).alias("_all"),
-    )
-    since = F.array_min(F.filter("_all", lambda o: o > F.col("_gone")))
-    return grouped.where("_new._kind != 'delete'").select("_id", F.parse_json("_new._raw").alias("doc"), "_new._raw", F.when(F.col("_gone").isNull(), F.col("_least")).otherwise(since).alias("_ord"))
+    gone = versions.where("_kind = 'delete'").groupBy("_id").agg(F.max("_ord").alias("_gone"))
+    since = F.when((F.col("_kind") != "delete") & (F.col("_gone").isNull() | (F.col("_ord") > F.col("_gone"))), F.col("_ord"))
+    grouped = versions.join(gone, "_id", "left").groupBy("_id").agg(F.max_by(F.struct("_raw", "_kind"), "_ord").alias("_new"), F.min(since).alias("_since"))
+    return grouped.where("_new._kind != 'delete'").select("_id", F.parse_json("_new._raw").alias("doc"), "_new._raw", F.col("_since").alias("_ord"))
 
 
 def merge(base: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
@@ -43,10 +38,9 @@ def with_positions(df: DataFrame, order: list[str]) -> DataFrame:
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     placed = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()).persist()
     counts = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())  # one row a partition
-    first, total = {}, 0
+    first, total = [], 0
     for part, n in counts:
-        first[part], total = total, total + n
-    starts = F.create_map(*[F.lit(x) for p, s in first.items() for x in (p, s)]) if first else None
-    inside = F.col("_mono").bitwiseAND((1 << 33) - 1)
-    position = inside + starts[F.col("_part")] if starts is not None else F.lit(0).cast("bigint")
-    return placed.withColumn("_pos", position.cast("bigint")).drop("_part", "_mono")
+        first.append((part, total))
+        total += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(first, "_part int, _first bigint"))
+    return placed.join(starts, "_part").withColumn("_pos", F.col("_mono").bitwiseAND((1 << 33) - 1) + F.col("_first")).drop("_part", "_mono", "_first")

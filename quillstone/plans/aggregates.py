@@ -38,6 +38,18 @@ pair(
     "orders",
 )
 pair("agg_approx_distinct", "SELECT l_returnflag, approx_count_distinct(l_partkey) AS parts FROM {lineitem} GROUP BY l_returnflag", None, "lineitem")
+pair(
+    "agg_approx_distinct_error",
+    "SELECT l_returnflag, abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS close FROM {lineitem} GROUP BY l_returnflag",
+    "SELECT l_returnflag, true AS close FROM lineitem GROUP BY l_returnflag",
+    "lineitem",
+)
+pair(
+    "agg_first_last",
+    "SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS last_order, any_value(o_custkey) AS any_key FROM {orders} GROUP BY o_custkey",
+    "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_order, last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS last_order, any_value(o_custkey) AS any_key FROM orders GROUP BY o_custkey",
+    "orders",
+)
 pair(
     "agg_list",
     "SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), ',') AS names FROM {nation} GROUP BY n_regionkey",

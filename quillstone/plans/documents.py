@@ -35,13 +35,20 @@ def of(df: DataFrame, id_column: str) -> DataFrame:
 
 def stored(spark: SparkSession, **tables: tuple[DataFrame, str]) -> Root:
     """A root in the shared folder with a collection for each (table, id column)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillstone-")
-    root = Root(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
+    root = Root(spark, _folder(spark))
     for name, (df, id_column) in tables.items():
         root.collection(name).write(df, id_column)
     return root
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the shared one; only in local mode can that be a temporary folder of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='quillstone-')).rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(table(spark, sf_dir, "customer"), "c_custkey")
 
@@ -368,7 +375,7 @@ def iter_shuffle(spark, sf_dir):
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> qsql.Session:
-    root = Root(spark, tempfile.mkdtemp(prefix="quillstone-"), "r")
+    root = Root(spark, _folder(spark), "r")
     return qsql.Session(root).register_df("data", table(spark, sf_dir, "orders")).register_df("customers", table(spark, sf_dir, "customer"))
 
 
@@ -392,6 +399,101 @@ def sql_distinct_on(spark, sf_dir):
     return _orders(spark, sf_dir).query("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM data WHERE o_orderstatus <> 'P' ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
 
 
+@register("sql_cte_scope", "WITH data AS (SELECT * FROM orders WHERE o_totalprice > 100000) SELECT count(*) AS n, round(min(o_totalprice), 2) AS least FROM data")
+def sql_cte_scope(spark, sf_dir):
+    return _orders(spark, sf_dir).query("WITH data AS (SELECT * FROM data WHERE o_totalprice > 100000) SELECT count(*) AS n, round(min(o_totalprice), 2) AS least FROM data")
+
+
+_NESTED = """WITH newest AS (SELECT o_custkey, o_orderkey, o_totalprice FROM {data} QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1)
+  SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM newest JOIN (SELECT DISTINCT ON (c_nationkey, c_mktsegment) c_custkey, c_mktsegment FROM {customers} ORDER BY c_nationkey, c_mktsegment, c_custkey) c
+  ON o_custkey = c_custkey GROUP BY c_mktsegment"""
+
+
+@register("sql_qualify_nested", _NESTED.format(data="orders", customers="customer"))
+def sql_qualify_nested(spark, sf_dir):
+    return _orders(spark, sf_dir).query(_NESTED.format(data="data", customers="customers"))
+
+
+_SIDES = """SELECT o_custkey AS k, o_orderkey AS v FROM {data} QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) = 1
+  UNION ALL SELECT c_nationkey AS k, c_custkey AS v FROM {customers} QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1"""
+
+
+@register("sql_qualify_union", _SIDES.format(data="orders", customers="customer"))
+def sql_qualify_union(spark, sf_dir):
+    return _orders(spark, sf_dir).query(_SIDES.format(data="data", customers="customers"))
+
+
+# Stores: what is written, changed and read back
+
+
+@register("store_write_read", "SELECT CAST(s_suppkey AS VARCHAR) AS _id, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier")
+def store_write_read(spark, sf_dir):
+    root = stored(spark, supplier=(table(spark, sf_dir, "supplier"), "s_suppkey"))
+    return root.collection("supplier").typed().select("_id", "s_name", "s_nationkey")
+
+
+@register("store_put_many", "SELECT CAST(n_nationkey AS VARCHAR) AS _id, CASE WHEN n_regionkey = 2 THEN upper(n_name) || '!' ELSE n_name END AS n_name FROM nation WHERE n_regionkey <> 3")
+def store_put_many(spark, sf_dir):
+    nation = stored(spark, nation=(table(spark, sf_dir, "nation"), "n_nationkey")).collection("nation")
+    rows = table(spark, sf_dir, "nation").collect()  # 25 rows by definition of the table
+    nation.put_many((str(r["n_nationkey"]), {"n_name": r["n_name"].upper() + "!", "n_regionkey": 2}) for r in rows if r["n_regionkey"] == 2)
+    for r in rows:
+        if r["n_regionkey"] == 3:
+            nation.delete(str(r["n_nationkey"]))
+    nation.flush()
+    return nation.documents().select("_id", field("n_name", "string").alias("n_name"))
+
+
+@register("store_delete_where", "SELECT CAST(c_custkey AS VARCHAR) AS _id FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def store_delete_where(spark, sf_dir):
+    customers = stored(spark, customer=(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")).collection("customer")
+    customers.delete_where(Eq("c_mktsegment", "BUILDING"))
+    return customers.ids()
+
+
+@register("store_compact", "SELECT CAST(s_suppkey AS VARCHAR) AS _id, s_acctbal + CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END AS s_acctbal, 1::BIGINT AS batches FROM supplier")
+def store_compact(spark, sf_dir):
+    narrow = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    supplier = stored(spark, supplier=(narrow, "s_suppkey")).collection("supplier")
+    supplier.write(narrow.where("s_acctbal < 0").withColumn("s_acctbal", F.col("s_acctbal") + 1), "s_suppkey")
+    supplier.compact()
+    return supplier.documents().select("_id", field("s_acctbal", "double").alias("s_acctbal"), F.lit(supplier.stats()["batches"]).cast("long").alias("batches"))
+
+
+@register("store_validate", "SELECT count(*) AS documents, true AS ok FROM part")
+def store_validate(spark, sf_dir):
+    found = stored(spark, part=(table(spark, sf_dir, "part"), "p_partkey")).collection("part").validate()
+    return spark.createDataFrame([(found["documents"], found["ok"])], "documents bigint, ok boolean")
+
+
+@register("store_schemas", "SELECT count(*) AS count, 1::BIGINT AS schemas FROM customer")
+def store_schemas(spark, sf_dir):
+    customers = stored(spark, customer=(table(spark, sf_dir, "customer"), "c_custkey")).collection("customer")
+    return customers.schemas().agg(F.sum("count").alias("count"), F.count("*").alias("schemas"))
+
+
+@register("query_sink", "SELECT CAST(c_nationkey AS VARCHAR) AS _id, count(*) AS n FROM customer GROUP BY c_nationkey")
+def query_sink(spark, sf_dir):
+    root = stored(spark)
+    session = qsql.Session(root).register_df("data", table(spark, sf_dir, "customer"))
+    session.export("SELECT c_nationkey AS nation, count(*) AS n FROM data GROUP BY c_nationkey", "counts", "nation")
+    return root.collection("counts").documents().select("_id", field("n", "bigint").alias("n"))
+
+
+@register("data_source_read", "SELECT r_name, CAST(r_regionkey AS BIGINT) AS r_regionkey, CAST(r_regionkey AS VARCHAR) AS _id FROM region WHERE r_regionkey IN (1, 3)")
+def data_source_read(spark, sf_dir):
+    from quillstone.sources import datasource
+
+    root = stored(spark, region=(table(spark, sf_dir, "region"), "r_regionkey"))
+    datasource.register(spark)
+    return spark.read.format("quillstone").options(root=root.path, collection="region").load().where("_id IN ('1', '3')").select("r_name", "r_regionkey", "_id")
+
+
+@register("dataset_predicate_udf", "SELECT c_custkey, c_name FROM customer WHERE length(c_name) + c_nationkey > 30")
+def dataset_predicate_udf(spark, sf_dir):
+    return _dataset(spark, sf_dir).filter(lambda d: len(d["c_name"]) + d["c_nationkey"] > 30).df.select(_key(), _name())
+
+
 @register("aggregate_helper", "SELECT p_brand, round(sum(p_retailprice), 2) AS total FROM part GROUP BY p_brand")
 def aggregate_helper(spark, sf_dir):
     root = stored(spark, part=(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_partkey"))

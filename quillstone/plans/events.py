@@ -14,7 +14,7 @@ both("event_type_counts", "SELECT event_type, count(*) AS n, round(sum(value), 4
 both(
     "batched_fold",
     """SELECT CAST(floor((event_id - least_id) / 1000) AS BIGINT) AS batch, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, round(sum(value), 4) AS total
-       FROM (SELECT *, min(event_id) OVER () AS least_id FROM {events}) GROUP BY 1""",
+       FROM (SELECT *, (SELECT min(event_id) FROM {events}) AS least_id FROM {events}) GROUP BY 1""",
     "events",
 )
 

@@ -15,7 +15,7 @@ both("join_right", "SELECT c_custkey, o_orderkey FROM {orders} RIGHT JOIN {custo
 both(
     "join_full",
     """SELECT s.s_suppkey, c.c_custkey, coalesce(s.s_nationkey, c.c_nationkey) AS nationkey
-       FROM (SELECT * FROM {supplier} WHERE s_suppkey % 3 = 0) s FULL OUTER JOIN (SELECT * FROM {customer} WHERE c_custkey % 5 = 0) c ON s.s_suppkey = c.c_custkey""",
+       FROM {supplier} s FULL OUTER JOIN {customer} c ON s.s_suppkey = c.c_custkey AND s.s_acctbal < c.c_acctbal""",
     "supplier",
     "customer",
 )
@@ -46,6 +46,12 @@ both(
     "nation",
     "supplier",
 )
+both(
+    "join_broadcast_hint",
+    "SELECT /*+ BROADCAST(n) */ s_suppkey, n_name FROM {supplier} s JOIN {nation} n ON s_nationkey = n_nationkey",
+    "supplier",
+    "nation",
+)
 both(
     "join_star",
     """SELECT r_name, n_name, count(*) AS line_count, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
@@ -60,12 +66,12 @@ both(
 
 @query(
     "join_range",
-    """WITH b AS (SELECT p_partkey AS band_id, p_retailprice AS lo, p_retailprice + 25 AS hi FROM part WHERE p_partkey % 40 = 0)
+    """WITH b AS (SELECT p_partkey AS band_id, p_retailprice AS lo, p_retailprice + 25 AS hi FROM part)
        SELECT o_orderkey, band_id FROM orders JOIN b ON o_totalprice / 100 >= lo AND o_totalprice / 100 < hi""",
 )
 def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("point"))
-    bands = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("band_id"), F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 25).alias("hi"))
+    bands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("band_id"), F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 25).alias("hi"))
     return band_join(points, bands, "point", "lo", "hi", width=25.0).select("o_orderkey", "band_id")
 
 

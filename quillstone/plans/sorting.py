@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstone.plans.registry import both, query
 from quillstone.plans.tables import table
@@ -17,3 +18,13 @@ both("topk", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalpric
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling is the feature here: a tenth of the rows by a seeded draw."""
     return table(spark, sf_dir, "lineitem").sample(0.1, seed=7).select("l_orderkey", "l_linenumber")
+
+
+@query("sample_bounds", "SELECT true AS near, 0::BIGINT AS foreign_rows")
+def sample_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample's size is near its share, and all its rows are the table's."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    picked = sample_rows(spark, sf_dir)
+    foreign = picked.join(rows, ["l_orderkey", "l_linenumber"], "left_anti").agg(F.count("*").alias("foreign_rows"))
+    total, some = rows.agg(F.count("*").alias("total")), picked.agg(F.count("*").alias("some"))
+    return total.join(some).join(foreign).select((F.abs(F.col("some") - F.col("total") * 0.1) <= 5 * F.sqrt(F.col("total") * 0.09)).alias("near"), "foreign_rows")

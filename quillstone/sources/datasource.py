@@ -71,8 +71,7 @@ def live(root: str, name: str, ids: frozenset[str] | None = None) -> dict[str, d
     return out
 
 
-def _type(values: list[Any]) -> Any:
-    kinds = {type(v) for v in values if v is not None}
+def _type(kinds: set[type]) -> Any:
     if kinds == {bool}:
         return BooleanType()
     if kinds == {int}:
@@ -80,15 +79,15 @@ def _type(values: list[Any]) -> Any:
     return DoubleType() if kinds and kinds <= {int, float} else StringType()
 
 
-def infer(root: str, name: str, sample: int = 1000) -> StructType:
-    """Top-level columns of the first documents, and _id last; arrays and objects are JSON text."""
-    seen: dict[str, list[Any]] = {}
-    for n, (_, doc) in enumerate(_versions(_files(root, name))):
-        if n >= sample:
-            break
-        for k, v in (doc or {}).items():
-            seen.setdefault(k, []).append(v)
-    return StructType([StructField(k, _type(v)) for k, v in seen.items()] + [StructField("_id", StringType())])
+def infer(root: str, name: str) -> StructType:
+    """Top-level columns of all live documents, and _id last; arrays, objects and fields of mixed types are JSON text."""
+    seen: dict[str, set[type]] = {}
+    for doc in live(root, name).values():
+        for k, v in doc.items():
+            kinds = seen.setdefault(k, set())
+            if v is not None:
+                kinds.add(type(v))
+    return StructType([StructField(k, _type(v)) for k, v in seen.items() if k != "_id"] + [StructField("_id", StringType())])
 
 
 def _cell(value: Any, kind: Any) -> Any:

@@ -12,13 +12,15 @@ they look. A document's newest version counts, deletions last, and strict collec
 from __future__ import annotations
 
 import json
+import threading
 import time
+import uuid
 import weakref
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +33,8 @@ from quillstone.sources.files import Files
 from quillstone.sources.scan import committed, read_versions
 
 MODES = ("r", "rw")
+LEASE = 60.0  # seconds after which a lock that isn't renewed counts as left behind
+_BAD_ID = "not a document id: "
 _open: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
 
 
@@ -78,26 +82,70 @@ class Root:
         return self.files.is_dir(layout.collection_dir(self.path, name))
 
     @contextmanager
-    def write_lock(self, wait: float = 10.0) -> Iterator[None]:
-        """Held while a batch is committed; a file that only one writer can create."""
+    def write_lock(self, wait: float = 10.0, lease: float = LEASE) -> Iterator[Callable[[], None]]:
+        """Held while a batch is committed; a file that only one writer can create, with its owner and time.
+
+        The holder renews the time; a lock whose time is older than the lease was left by a writer that died and is
+        taken over by one of those that wait. Yields a function that raises StoreLocked if the lock was lost meanwhile.
+        """
         if self._locked:
-            yield
+            yield self._still_locked
             return
-        path, until = layout.lock_file(self.path), time.time() + wait
+        path, until, owner = layout.lock_file(self.path), time.time() + wait, uuid.uuid4().hex
+        held = lambda: json.dumps({"owner": owner, "time": time.time()})
         while True:
             try:
-                self.files.write(path, json.dumps({"time": time.time()}), overwrite=False)
+                self.files.write(path, held(), overwrite=False)
                 break
             except Exception as e:
+                self._take_over(path, lease)
                 if time.time() > until:
                     raise StoreLocked(f"{path} is held by another writer") from e
                 time.sleep(0.05)
-        self._locked = True
+        done = threading.Event()
+
+        def still() -> None:
+            if (self._lock_state(path) or {}).get("owner") != owner:
+                raise StoreLocked(f"{path} was taken over by another writer")
+
+        def renew() -> None:
+            while not done.wait(lease / 4):
+                try:
+                    still()
+                    self.files.write(path, held())
+                except StoreLocked:
+                    return
+                except Exception:  # the next turn tries again; the lease allows for several
+                    continue
+
+        thread = threading.Thread(target=renew, daemon=True)
+        thread.start()
+        self._locked, self._still_locked = True, still
         try:
-            yield
+            yield still
         finally:
             self._locked = False
-            self.files.delete(path)
+            done.set()
+            thread.join()
+            if (self._lock_state(path) or {}).get("owner") == owner:
+                self.files.delete(path)
+
+    def _lock_state(self, path: str) -> dict[str, Any] | None:
+        try:
+            return self.files.read_json(path)
+        except Exception:  # being written, or gone between two calls
+            return None
+
+    def _take_over(self, path: str, lease: float) -> None:
+        """Moves a lock aside that its holder hasn't renewed; of several writers one succeeds."""
+        state = self._lock_state(path)
+        if state and time.time() - state.get("time", 0) > lease:
+            aside = f"{path}.{uuid.uuid4().hex}"
+            try:
+                self.files.rename(path, aside)
+                self.files.delete(aside)
+            except Exception:  # another writer was first
+                return
 
     def __enter__(self) -> Root:
         return self
@@ -263,19 +311,21 @@ class Collection:
             columns = [c for c in df.columns if c != "_id"]
             named = df.withColumn("_key", F.col(id_column).cast("string"))
         body = F.to_json(F.struct(F.col("_key").alias("_id"), *[c for c in columns if c != "_id"]))
-        lines = named.select(F.col("_key"), body.alias("value"))
-        bad = lines.where(~layout.valid_id(F.col("_key"))).select("_key").first()
-        if bad is not None:
-            raise InvalidDocumentId(f"invalid document id: {bad[0]!r}")
         if self.strict:
-            found = [r[0] for r in lines.select(structural.schema_id(F.col("value"))).distinct().limit(2).collect()]
-            for one in found:
+            for one in [r[0] for r in named.select(structural.schema_id(body)).distinct().limit(2).collect()]:
                 self._check(one)
-        staged = self._staging()
-        lines.select("value").write.text(staged)
-        n = self.spark.read.text(staged).count()
+        invalid = F.raise_error(F.concat(F.lit(_BAD_ID), F.coalesce("_key", F.lit("null"))))
+        checked = named.select(F.when(layout.valid_id(F.col("_key")), body).otherwise(invalid).alias("value"))
+        staged, seen = self._staging(), Observation()
+        try:
+            checked.observe(seen, F.count(F.lit(1)).alias("n")).write.text(staged)
+        except Exception as e:
+            self.root.files.delete(staged)
+            if _BAD_ID in str(e):
+                raise InvalidDocumentId(f"invalid document id: {str(e).split(_BAD_ID, 1)[1].splitlines()[0]}") from e
+            raise
         self._publish("put", staged)
-        return n
+        return seen.get["n"]
 
     def delete(self, doc_id: str, missing_ok: bool = False) -> None:
         self._guard()
@@ -301,9 +351,10 @@ class Collection:
             self.flush()
 
     def flush(self) -> None:
+        """Commits the buffer; if that fails the buffer is kept, so that flushing again loses nothing."""
         if self._pending:
-            lines, self._pending, self._pending_bytes = self._pending, [], 0
-            self._commit(self._pending_kind, lines)
+            self._commit(self._pending_kind, self._pending)
+            self._pending, self._pending_bytes = [], 0
 
     def _append(self, kind: str, line: str) -> None:
         if kind != self._pending_kind:
@@ -342,30 +393,38 @@ class Collection:
 
     def _publish(self, kind: str, staged: str) -> None:
         """Gives a finished folder the next number; the rename is the commit."""
-        with self.root.write_lock():
+        with self.root.write_lock() as still:
             base = layout.batches_dir(self.root.path, self.name)
             last = max((p[0] for n in self.root.files.list(base) if (p := layout.parse_batch(n))), default=-1)
+            still()
             self.root.files.rename(staged, layout.join(base, layout.batch_name(last + 1, kind)))
 
     # Maintenance
 
     def compact(self) -> int:
-        """Rewrites the live documents as a snapshot, then removes what it replaces. Returns the number of documents."""
+        """Rewrites the live documents as a snapshot, then removes what it replaces. Returns the number of documents.
+
+        The write lock is held from the listing of the batches on, so no batch can come between them and the snapshot.
+        """
         self._guard()
         self.flush()
+        with self.root.write_lock():
+            self._rewrite()
+        return self.count()
+
+    def _rewrite(self) -> None:
+        old = committed(self.root.files, self.root.path, self.name)
         staged = self._staging()
         docs = self.documents()
         body = F.when(F.get_json_object("_raw", "$._id") == F.col("_id"), F.col("_raw")).otherwise(F.regexp_replace("_raw", r"^\s*\{\s*(\}?)", F.concat(F.lit('{"_id":"'), F.col("_id"), F.lit('"'), F.when(F.col("_raw").rlike(r"^\s*\{\s*\}"), F.lit("$1")).otherwise(F.lit(",$1")))))
         flat = F.regexp_replace(body, r"\s*\n\s*", " ")
         docs.repartitionByRange("_ord").sortWithinPartitions("_ord").select(flat.alias("value")).write.text(staged)
-        old = committed(self.root.files, self.root.path, self.name)
         self._publish("snapshot", staged)
         for _, _, path in old:
             self.root.files.delete(path)
         self.root.files.delete(layout.data_file(self.root.path, self.name))
         self.root.files.delete(layout.docs_dir(self.root.path, self.name))
         self.root.files.mkdirs(layout.docs_dir(self.root.path, self.name))
-        return self.count()
 
     def uncommitted(self) -> list[str]:
         """Folders of batches that were begun and never committed."""

@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 
@@ -229,3 +230,90 @@ def test_tuned_session(spark):
     own = tuned(spark.newSession(), 10 << 30)
     assert int(own.conf.get("spark.sql.shuffle.partitions")) == 80
     assert int(tuned(spark.newSession(), 0).conf.get("spark.sql.shuffle.partitions")) == spark.sparkContext.defaultParallelism
+
+
+def test_a_batch_committed_during_compaction_stays(spark, root, people, monkeypatch):
+    """Another writer waits for the compaction and is neither lost nor hidden by the snapshot."""
+    import threading
+
+    other, seen = Root(spark, root.path), []
+
+    def late():
+        c = other.collection("people")
+        c.put("late", {"name": "Late"})
+        c.flush()
+        seen.append(time.monotonic())
+
+    thread, publish = threading.Thread(target=late), type(people)._publish
+
+    def slow(self, kind, staged):
+        if kind == "snapshot":
+            thread.start()
+            time.sleep(1.0)
+            assert not seen
+        publish(self, kind, staged)
+
+    monkeypatch.setattr(type(people), "_publish", slow)
+    people.compact()
+    thread.join()
+    assert sorted(people) == ["a", "b", "c", "late"]
+    monkeypatch.undo()
+    people.compact()
+    assert sorted(people) == ["a", "b", "c", "late"]
+
+
+def test_a_lock_left_behind_is_taken_over(spark, root, people):
+    path = layout.lock_file(root.path)
+    root.files.write(path, json.dumps({"owner": "dead", "time": time.time() - 3600}))
+    people.put("d", {"name": "Dee"})
+    people.flush()
+    assert "d" in people and not root.files.exists(path)
+
+
+def test_a_lost_lock_stops_its_holder(root):
+    with pytest.raises(errors.StoreLocked), root.write_lock(lease=30) as still:
+        root.files.write(layout.lock_file(root.path), json.dumps({"owner": "another", "time": time.time()}))
+        still()
+    root.files.delete(layout.lock_file(root.path))
+
+
+def test_a_failed_commit_keeps_the_buffer(root, people, monkeypatch):
+    people.flush()
+    real = type(people)._publish
+
+    def fail(self, kind, staged):
+        raise errors.StoreLocked("held")
+
+    with people.bulk():
+        people.put("e", {"name": "Eve"})
+        monkeypatch.setattr(type(people), "_publish", fail)
+        with pytest.raises(errors.StoreLocked):
+            people.flush()
+        monkeypatch.setattr(type(people), "_publish", real)
+    assert people["e"] == {"name": "Eve"}
+
+
+def test_places_after_deletion(people):
+    people.delete("a")
+    people.put("a", {"name": "Ann2"})
+    people.delete("b")
+    people.put("a", {"name": "Ann3"})
+    people.flush()
+    assert list(people) == ["c", "a"] and people["a"] == {"name": "Ann3"}
+
+
+def test_bad_ids_fail_the_write(spark, root):
+    c = root.collection("bad")
+    with pytest.raises(errors.InvalidDocumentId, match="x/y"):
+        c.write(spark.createDataFrame([("ok", 1), ("x/y", 2)], "id string, v int"), "id")
+    assert c.count() == 0 and c.write(spark.createDataFrame([("ok", 1), ("fine", 2)], "id string, v int"), "id") == 2
+
+
+def test_data_source_infers_from_all_documents(spark, root):
+    from quillstone.sources import datasource
+
+    c = root.collection("many")
+    c.write(spark.range(1500).selectExpr("concat('k', lpad(id, 5, '0')) AS id", "CASE WHEN id < 1400 THEN CAST(id AS DOUBLE) END AS n"), "id")
+    c.write(spark.sql("SELECT 'z' AS id, 1.5D AS n, 'late' AS extra"), "id")
+    got = {f.name: f.dataType.simpleString() for f in datasource.infer(root.path, "many").fields}
+    assert got == {"id": "string", "n": "double", "extra": "string", "_id": "string"}
