@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.llm.shared import bucket_count, column, fresh, place_of, row_keys, running_sum, settle, sheltered, table, unit_hash, without
+from quillstone.llm.shared import bucket_count, column, fresh, place_of, row_keys, running_sum, scratch, settle, sheltered, table, unit_hash, without
 
 SOURCE_WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -100,11 +100,13 @@ def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, each row as often as the mix takes it. Texts move once, to meet the decisions. Rows without a source are a source, those of size 0 are taken with the complete epochs."""
     file, row, copies, copy = fresh(docs.columns, "_file", "_row", "_copies", "_copy")
     keyed = row_keys(docs, file, row)
-    narrow = keyed.select(column(file).alias("file"), column(row).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("words"))
-    narrow = settle(with_quality(narrow, labels), "mix")
-    taken = mix(narrow, F.col("_quality"), size=F.col("words"), tie=place_of(F.col("file"), F.col("row")))
-    taken = taken.where("copies > 0").select(F.col("file").alias(file), F.col("row").alias(row), F.col("copies").alias(copies))
-    copied = keyed.join(settle(taken, "mix-taken"), [file, row])
+    with scratch(docs.sparkSession) as keep:
+        narrow = keyed.select(column(file).alias("file"), column(row).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("words"))
+        narrow = settle(with_quality(narrow, labels), "mix")
+        taken = mix(narrow, F.col("_quality"), size=F.col("words"), tie=place_of(F.col("file"), F.col("row")))
+        taken = keep(settle(taken.where("copies > 0").select("file", "row", "copies"), "mix-taken"))
+    taken = taken.select(F.col("file").alias(file), F.col("row").alias(row), F.col("copies").alias(copies))
+    copied = keyed.join(taken.hint("merge"), [file, row])
     return copied.select(*[column(c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)).drop(copy)
 
 

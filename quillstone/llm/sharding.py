@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import bucket_count, column, drop_clashing, fresh, place_of, row_keys, running_sum, settle, sheltered, table, unit_hash, without
+from quillstone.llm.shared import bucket_count, column, drop_clashing, fresh, place_of, row_keys, running_sum, scratch, settle, sheltered, table, unit_hash, without
 
 SHARDS = 24
 SEED = 17
@@ -48,9 +48,11 @@ def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     base = drop_clashing(docs, _ADDED)
     file, row = fresh([*docs.columns, *_ADDED], "_file", "_row")
     keyed = row_keys(base, file, row)
-    narrow = settle(keyed.select(column(file).alias("file"), column(row).alias("row"), "doc_id", "source"), "shard-rows")
-    places = interleave(narrow, shards, tie=place_of(F.col("file"), F.col("row"))).select(F.col("file").alias(file), F.col("row").alias(row), *_ADDED)
-    return keyed.join(settle(places, "shard-places"), [file, row]).select(*[column(c) for c in base.columns], *_ADDED)
+    with scratch(docs.sparkSession) as keep:
+        narrow = settle(keyed.select(column(file).alias("file"), column(row).alias("row"), "doc_id", "source"), "shard-rows")
+        places = keep(settle(interleave(narrow, shards, tie=place_of(F.col("file"), F.col("row"))).select("file", "row", *_ADDED), "shard-places"))
+    places = places.select(F.col("file").alias(file), F.col("row").alias(row), *_ADDED)
+    return keyed.join(places.hint("merge"), [file, row]).select(*[column(c) for c in base.columns], *_ADDED)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

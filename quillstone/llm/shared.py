@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.sources.files import Files
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -39,11 +42,45 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     The shuffle files of the job go as soon as it ends, as nothing reads them again.
     """
     path = shared_path(df.sparkSession, label)
+    _scope.paths.append(path)
     with brief_shuffles(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class _Scope(threading.local):
+    """Folders that settle() has written in the innermost scratch() of this thread."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_scope = _Scope()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes what settle() writes inside when the block ends, but for the tables given to the function it yields.
+
+    What leaves the block must read none of the tables that go.
+    """
+    outer, kept = _scope.paths, set()
+    _scope.paths = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(_scope.paths[-1])
+        return df
+
+    try:
+        yield keep
+    finally:
+        own, _scope.paths = _scope.paths, outer
+        outer += [p for p in own if p in kept]
+        for path in own:
+            if path not in kept:
+                Files(spark).delete(path)
+
+
 @contextmanager
 def brief_shuffles(spark: SparkSession) -> Iterator[None]:
     """Has the shuffle files of the jobs inside removed when they end."""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.lm_scoring import crc_remainder
-from quillstone.llm.shared import drop_clashing, fresh, settle, table
+from quillstone.llm.shared import drop_clashing, fresh, scratch, settle, table
 from quillstone.llm.words import LETTERED
 
 FOLDS, HELD_OUT = 3, 1
@@ -194,6 +194,11 @@ class Lexicon:
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
     """A lexicon from at most `rows` labelled documents outside the held-out fold; its size is bounded by theirs."""
+    with scratch(docs.sparkSession):
+        return _learn(docs, labels, rows)
+
+
+def _learn(docs: DataFrame, labels: DataFrame, rows: int) -> Lexicon:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(sample, "doc_id").select("text", "toxic")
