@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.shared import column, drop_clashing, fresh, row_keys, settle, shared_path, table
+from quillstone.llm.shared import column, drop_clashing, fresh, mapped, row_keys, settle, shared_path, table
 from quillstone.llm.words import LETTERED, hash_words, row_blocks, string_buffers
 
 WINDOW = 10
@@ -224,7 +224,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_byt
     base, blocks = drop_clashing(docs, _FOUND.names), block_count(items, block_bytes)
     schema = T.StructType([*base.schema.fields, *_FOUND.fields])
     if blocks == 1:
-        return base.mapInArrow(_finder(item_block(items, 0, 1), window), schema)
+        return mapped(base, _finder(item_block(items, 0, 1), window), schema)
     file, row = fresh([*base.columns, *_FOUND.names], "_file", "_row")
     keyed = row_keys(base, file, row)
     path = shared_path(docs.sparkSession, "decontamination-hits")
@@ -234,7 +234,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_byt
         part.where("size(hit_spans) > 0").drop("n_words").write.mode("append").parquet(path)
     hits = docs.sparkSession.read.schema(part.drop("n_words").schema).parquet(path)
     merged = hits.groupBy(file, row).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hit_spans", "hit_items")])
-    return keyed.join(merged, [file, row], "left").select(*[column(c) for c in base.columns], "hit_spans", "hit_items").mapInArrow(_finder(None, window), schema)
+    return mapped(keyed.join(merged, [file, row], "left").select(*[column(c) for c in base.columns], "hit_spans", "hit_items"), _finder(None, window), schema)
 
 
 def cut_out(text: bytes, spans: list[int]) -> bytes:
@@ -310,7 +310,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     """
     blocks = block_count(items, block_bytes)
     if blocks == 1:
-        return docs.mapInArrow(_cutter(item_block(items, 0, 1), window, coverage), docs.schema)
+        return mapped(docs, _cutter(item_block(items, 0, 1), window, coverage), docs.schema)
     file, row, new, cut_too = fresh(docs.columns, "_file", "_row", "_new", "_cut")
     keyed = row_keys(docs, file, row)
     todo = keyed.select(column(file).alias("file"), column(row).alias("row"), "text")

@@ -7,7 +7,7 @@ w its quality weight, and documents are taken in key order until the prefix sum
 at the middle of a document, so the words taken differ from the target by half a document at most.
 
 Edge cases: a null source is a source of its own and comes last; null texts have size 0; documents without a label
-weigh UNLABELLED; null or repeated ids have equal keys (in the pipeline they are told apart by their places in the table);
+weigh UNLABELLED; null or repeated ids have equal keys (in the pipeline the hash of the text tells them apart);
 repeated rows are separate documents; an empty table gives an empty table; of the input's columns only those named like an added one
 are replaced; texts of any length are counted whole.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.llm.shared import bucket_count, column, fresh, place_of, row_keys, running_sum, scratch, settle, sheltered, table, unit_hash, without
+from quillstone.llm.shared import bucket_count, column, fresh, row_keys, running_sum, scratch, settle, sheltered, table, unit_hash, without
 
 SOURCE_WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -101,9 +101,9 @@ def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     file, row, copies, copy = fresh(docs.columns, "_file", "_row", "_copies", "_copy")
     keyed = row_keys(docs, file, row)
     with scratch(docs.sparkSession) as keep:
-        narrow = keyed.select(column(file).alias("file"), column(row).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("words"))
+        narrow = keyed.select(column(file).alias("file"), column(row).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("digest"))
         narrow = settle(with_quality(narrow, labels), "mix")
-        taken = mix(narrow, F.col("_quality"), size=F.col("words"), tie=place_of(F.col("file"), F.col("row")))
+        taken = mix(narrow, F.col("_quality"), size=F.col("words"), tie=F.col("digest"))
         taken = keep(settle(taken.where("copies > 0").select("file", "row", "copies"), "mix-taken"))
     taken = taken.select(F.col("file").alias(file), F.col("row").alias(row), F.col("copies").alias(copies))
     copied = keyed.join(taken.hint("merge"), [file, row])

@@ -4,8 +4,9 @@ Rows of each source are shuffled by a seeded hash and ranked; a row's fractional
 source. Sorted by fractional rank, every stretch of rows has the sources in their overall proportions, so cutting the
 order into equal parts gives shards that all match the mixture. Law: `rows` (row counts at most one apart).
 
-Edge cases: a null source is a source of its own; null texts have size 8 and CRC 0; rows that repeat are told apart
-by their places in the table's files, so null or equal ids share no slice; an empty table gives an empty table; of the
+Edge cases: a null source is a source of its own; null texts have size 8 and CRC 0; rows of null or equal ids
+are told apart by their places in the table's files (in the pipeline, whose files differ from run to run, by the hash of
+the text); an empty table gives an empty table; of the
 input's columns only those named shard and slot are replaced; texts of any length move once and are never cut.
 """
 
@@ -49,8 +50,8 @@ def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     file, row = fresh([*docs.columns, *_ADDED], "_file", "_row")
     keyed = row_keys(base, file, row)
     with scratch(docs.sparkSession) as keep:
-        narrow = settle(keyed.select(column(file).alias("file"), column(row).alias("row"), "doc_id", "source"), "shard-rows")
-        places = keep(settle(interleave(narrow, shards, tie=place_of(F.col("file"), F.col("row"))).select("file", "row", *_ADDED), "shard-places"))
+        narrow = settle(keyed.select(column(file).alias("file"), column(row).alias("row"), "doc_id", "source", F.xxhash64("text").alias("digest")), "shard-rows")
+        places = keep(settle(interleave(narrow, shards, tie=F.col("digest")).select("file", "row", *_ADDED), "shard-places"))
     places = places.select(F.col("file").alias(file), F.col("row").alias(row), *_ADDED)
     return keyed.join(places.hint("merge"), [file, row]).select(*[column(c) for c in base.columns], *_ADDED)
 

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillstone.sources.files import Files
@@ -147,6 +148,14 @@ def row_keys(df: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame
         return keyed(settle(df, "rows"))
 
 
+def mapped(df: DataFrame, function: Callable, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(), for columns of any name: those with dots and the like pass under plain ones."""
+    odd = [n for n in df.columns if "." in n or "`" in n]
+    plain = dict(zip(odd, fresh([*df.columns, *schema.names], *[f"_plain{i}" for i in range(len(odd))]), strict=True))
+    fields = [T.StructField(plain.get(f.name, f.name), f.dataType) for f in schema.fields]
+    return df.toDF(*[plain.get(n, n) for n in df.columns]).mapInArrow(function, T.StructType(fields)).toDF(*schema.names)
+
+
 def place_of(file: Column, row: Column) -> Column:
     """What tells any two rows of a table apart: the row's number and its file's name."""
     return F.concat_ws("/", row.cast("string"), F.substring_index(file, "/", -1))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.lm_scoring import crc_remainder
-from quillstone.llm.shared import drop_clashing, fresh, scratch, settle, table
+from quillstone.llm.shared import drop_clashing, fresh, mapped, scratch, settle, table
 from quillstone.llm.words import LETTERED
 
 FOLDS, HELD_OUT = 3, 1
@@ -301,7 +301,7 @@ def _scored(lexicon: Lexicon, names: tuple[str, str]) -> Callable[[Iterator[pa.R
 def with_scores(docs: DataFrame, lexicon: Lexicon, score: str = "_score", terms: str = "_terms") -> DataFrame:
     """docs (with text) and its score and number of terms, in columns of the names given; columns of these names are replaced."""
     kept = drop_clashing(docs, [score, terms])
-    return kept.mapInArrow(_scored(lexicon, (score, terms)), T.StructType([*kept.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(terms, T.LongType())]))
+    return mapped(kept, _scored(lexicon, (score, terms)), T.StructType([*kept.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(terms, T.LongType())]))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
