@@ -1,7 +1,10 @@
 """A training corpus from raw documents, in five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
 
-Stages keep the columns of documents, the last adds shard and slot. Rows with nulls pass every filter that doesn't
-concern them; an empty table passes through.
+Stages keep the columns of documents, extra ones of any name included; the last adds shard and slot, which replace
+columns of these names. Null texts are not toxic, have no near copies, hold no passage, have size 0 in the mix and get a
+place; null ids are told apart by the hash of the text. Repeated rows are near copies of one another, so one
+stays. Of ties for the least doc_id the least text, then the first row stays. Very long texts pass whole, one at a time.
+An empty table passes through.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut out; documents that are mostly such passages go. n_chars follows the text."""
     cut = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else cut
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: The learned toxicity scores and the near-duplicate classes have no SQL form; tests/llm compares stages with brute force.
+#: The learned toxicity scores and the near-duplicate classes have no SQL form. tests/llm tests each operator against brute force and each stage against its operator.
 ORACLE_SQL = None
 
 
