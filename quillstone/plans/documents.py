@@ -472,6 +472,20 @@ def store_schemas(spark, sf_dir):
     return customers.schemas().agg(F.sum("count").alias("count"), F.count("*").alias("schemas"))
 
 
+@register("store_saved_schemas", "SELECT count(*) AS count, true AS known FROM supplier")
+def store_saved_schemas(spark, sf_dir):
+    supplier = stored(spark, supplier=(table(spark, sf_dir, "supplier"), "s_suppkey")).collection("supplier")
+    saved = supplier.save_schemas()
+    known = supplier.schema(saved.first()["schema_id"]) is not None
+    return saved.agg(F.sum("count").alias("count")).withColumn("known", F.lit(known))
+
+
+@register("store_blobs", """SELECT CAST(sum(strlen('{"_id":"' || r_regionkey || '","r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}') + 1) AS BIGINT) AS bytes FROM region""")
+def store_blobs(spark, sf_dir):
+    blobs = stored(spark, region=(table(spark, sf_dir, "region"), "r_regionkey")).collection("region").blobs()
+    return blobs.agg(F.sum(F.octet_length("content")).cast("long").alias("bytes"))
+
+
 @register("query_sink", "SELECT CAST(c_nationkey AS VARCHAR) AS _id, count(*) AS n FROM customer GROUP BY c_nationkey")
 def query_sink(spark, sf_dir):
     root = stored(spark)

@@ -217,6 +217,15 @@ class Collection:
         """JSON text of each live document."""
         return self.documents().select("_raw")
 
+    def blobs(self) -> DataFrame:
+        """path, length and content (binary) of each committed file of lines as it lies there, old versions included; files of single documents are not among them."""
+        paths = [f"{path}/part-*" for _, _, path in committed(self.root.files, self.root.path, self.name)]
+        data = layout.data_file(self.root.path, self.name)
+        paths += [data] if self.root.files.exists(data) else []
+        if not paths:
+            return self.spark.createDataFrame([], "path string, length long, content binary")
+        return self.spark.read.format("binaryFile").load(paths).select("path", "length", "content")
+
     def preload(self) -> DataFrame:
         """documents(), kept in memory and on disk until unpersisted; later reads of the frame don't parse again."""
         kept = self.documents().persist()
@@ -438,6 +447,29 @@ class Collection:
     def schemas(self) -> DataFrame:
         return structural.schema_counts(self.documents())
 
+    @property
+    def strict_schema_id(self) -> str | None:
+        """The schema that a strict collection holds its documents to, if it has one yet."""
+        return self._manifest.get("schema_id") if self.strict else None
+
+    def schema(self, schema_id: str) -> dict[str, Any] | None:
+        """One structural schema by its id, as a nested dict of type names."""
+        row = self.schemas().where(F.col("schema_id") == schema_id).select("schema").first()
+        return None if row is None else json.loads(row[0])
+
+    def save_schemas(self) -> DataFrame:
+        """Writes schema_id, schema and count as JSON lines beside the manifest, in place of those saved before."""
+        self._guard()
+        self.schemas().write.mode("overwrite").json(self._schemas_path())
+        return self.load_schemas()
+
+    def load_schemas(self) -> DataFrame:
+        """The schemas saved last."""
+        return self.spark.read.schema("schema_id string, schema string, count long").json(self._schemas_path())
+
+    def _schemas_path(self) -> str:
+        return layout.join(layout.meta_dir(self.root.path, self.name), "schemas")
+
     def validate(self, fix: bool = False) -> dict[str, Any]:
         """Malformed lines, invalid ids, and leftovers of broken commits; fix removes the leftovers."""
         docs, left = self.documents(), self.uncommitted()

@@ -317,3 +317,15 @@ def test_data_source_infers_from_all_documents(spark, root):
     c.write(spark.sql("SELECT 'z' AS id, 1.5D AS n, 'late' AS extra"), "id")
     got = {f.name: f.dataType.simpleString() for f in datasource.infer(root.path, "many").fields}
     assert got == {"id": "string", "n": "double", "extra": "string", "_id": "string"}
+
+
+def test_blobs_and_saved_schemas(root, people):
+    people.flush()
+    lines = b"".join(bytes(r["content"]) for r in people.blobs().orderBy("path").collect()).decode().splitlines()
+    assert sorted(json.loads(x)["_id"] for x in lines) == ["a", "b", "c"]
+    saved = people.save_schemas().collect()
+    assert sum(r["count"] for r in saved) == 3 and len(saved) == 3
+    assert all(people.schema(r["schema_id"]) == json.loads(r["schema"]) for r in saved) and people.schema("none") is None
+    assert people.strict_schema_id is None
+    assert root.collection("nothing").blobs().count() == 0
+    assert people.count() == 3 and people.validate()["ok"]
