@@ -4,17 +4,24 @@ A frame holds up to BLOCK samples. The encoder predicts each frame by the best o
 linear predictor of order 2, and codes the residuals by Rice partitions. Streams hold STREAMINFO with the MD5 of the
 samples, and a SEEKTABLE with each frame's first sample and offset, so blocks of samples can be read alone.
 
-The decoder reads any partition order, fixed and linear predictors up to order 32, constant and verbatim subframes of
-8-bit mono frames, and checks each header's CRC-8, each frame's CRC-16 and the stream's MD5. Rice codes follow one
-another, so frames are decoded side by side: step i reads the i-th residual of every frame of a group of streams.
+The decoder reads all frames of 8-bit mono streams: constant, verbatim, fixed and linear subframes up to order 32, any
+partition order, 4- and 5-bit Rice parameters, escaped partitions and wasted bits. Where the seek table doesn't list
+every frame, frames are found by their sync codes, numbers and checksums. It checks each header's CRC-8, each frame's
+CRC-16 and the stream's MD5. Rice codes follow one another, so frames are decoded side by side: step i reads the i-th
+residual of every frame of a piece. Frames with escapes, wasted bits or 5-bit parameters are read one at a time.
+
+The query writes the streams as a table, decodes them to a table of PCM blocks with their sample offsets, and derives
+its columns from those blocks.
 
 Edge cases: an empty payload is a stream without frames; damaged or foreign streams fail with FlacError; null payloads
-count as empty; repeated rows are coded each.
+count as empty; repeated rows are coded each; a very long payload is coded and decoded by pieces of some thousand
+frames at most, so only its bytes are held whole; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import table
+from quillstone.llm.shared import scratch, settle, table
 from quillstone.llm.words import row_blocks
 
 BLOCK = 4096
 RATE = 8000
-ENCODED_TOGETHER, DECODED_TOGETHER = 1 << 17, 1 << 22  # bytes: arrays that fit a cache; as many frames side by side as memory allows
+ENCODED_TOGETHER, DECODED_TOGETHER, _HASHED = 1 << 17, 1 << 22, 1 << 20  # bytes: arrays that fit a cache; as many frames side by side as memory allows
 _ORDER, _PRECISION, _SHIFT = 2, 10, 8
 _MOST_ZEROS = 40
+_ONES = (1 << 13) + 16  # bytes: as many bits as a frame can have samples, and some
+_FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]  # the format's fixed predictors
 _U = np.uint64
 
 
@@ -47,14 +56,14 @@ def _crc_bytes(poly: int, bits: int) -> list[int]:
     return out
 
 
-_CRC8 = _crc_bytes(0x07, 8)
+_CRC8, _CRC16 = _crc_bytes(0x07, 8), _crc_bytes(0x8005, 16)
 _STRETCH = 64
 _held: list[np.ndarray] = []
 
 
 def _crc16_tables() -> tuple[np.ndarray, np.ndarray]:
     """CRC-16 is linear: of a byte by its distance from a stretch's end; and of a stretch's high and low byte by 0, 1, 2, ... stretches that follow."""
-    one = np.array(_crc_bytes(0x8005, 16), np.uint16)
+    one = np.array(_CRC16, np.uint16)
     step = lambda c: (c << np.uint16(8)) ^ one[c >> np.uint16(8)]
     rows = [one]
     for _ in range(_STRETCH - 1):
@@ -143,27 +152,39 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     number = np.arange(len(frame_row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
     first = offsets[frame_row] + number * BLOCK - offsets[0]
     size = np.minimum(BLOCK, offsets[frame_row + 1] - offsets[0] - first)
-    raw = data.astype(np.int32) - 128
-    signed = raw.astype(np.int8).tobytes()
-    frames = _encode_frames(raw, first, size, number) if len(first) else (b"", np.zeros(1, np.int64))
+    pieces, lengths = [], [np.zeros(0, np.int64)]
+    for lo, hi in row_blocks(np.append(first, len(data)), ENCODED_TOGETHER):
+        end = int(first[hi - 1] + size[hi - 1])
+        raw = data[int(first[lo]) : end].astype(np.int32) - 128
+        body, begin = _encode_frames(raw, first[lo:hi] - first[lo], size[lo:hi], number[lo:hi])
+        pieces.append(body)
+        lengths.append(np.diff(begin))
+    body, begin = b"".join(pieces), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
     out, f = [], 0
     for r in range(rows):
         n, k = int(sizes[r]), int(per_row[r])
-        body_at = frames[1][f : f + k + 1]
-        lengths = np.diff(body_at)
-        lo, hi = int(offsets[r] - offsets[0]), int(offsets[r + 1] - offsets[0])
+        body_at = begin[f : f + k + 1]
+        own = np.diff(body_at)
         info = min(BLOCK, max(16, n)).to_bytes(2, "big") * 2
-        info += int(lengths.min(initial=0) if k else 0).to_bytes(3, "big") + int(lengths.max(initial=0)).to_bytes(3, "big")
-        info += (RATE << 44 | 0 << 41 | 7 << 36 | n).to_bytes(8, "big") + hashlib.md5(signed[lo:hi]).digest()
+        info += int(own.min() if k else 0).to_bytes(3, "big") + int(own.max(initial=0)).to_bytes(3, "big")
+        info += (RATE << 44 | 0 << 41 | 7 << 36 | n).to_bytes(8, "big") + _md5(data[int(offsets[r] - offsets[0]) : int(offsets[r + 1] - offsets[0])])
         seek = np.zeros(k, [("sample", ">u8"), ("offset", ">u8"), ("count", ">u2")])
-        seek["sample"], seek["offset"], seek["count"] = number[f : f + k] * BLOCK, body_at[:-1] - (body_at[0] if k else 0), size[f : f + k]
+        seek["sample"], seek["offset"], seek["count"] = number[f : f + k] * BLOCK, body_at[:-1] - body_at[0], size[f : f + k]
         points = seek.tobytes()
         blocks = b"\x00\x00\x00\x22" + info + b"\x83" + len(points).to_bytes(3, "big") + points
-        out.append(b"fLaC" + blocks + frames[0][int(body_at[0]) : int(body_at[-1])] if k else b"fLaC" + blocks)
+        out.append(b"fLaC" + blocks + body[int(body_at[0]) : int(body_at[-1])])
         f += k
     return out
 
 
+def _md5(payload: np.ndarray) -> bytes:
+    """MD5 of the signed samples of a payload."""
+    found = hashlib.md5()
+    for at in range(0, len(payload), _HASHED):
+        found.update((payload[at : at + _HASHED] ^ np.uint8(0x80)).tobytes())
+    return found.digest()
+
+
 def _encode_frames(x: np.ndarray, first: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
     """All frames' bytes, and each frame's offset and the end."""
     n_frames = len(first)
@@ -276,23 +297,57 @@ class _Stream:
                 points = body
         if self.total < 0:
             raise FlacError("no STREAMINFO")
-        seek = np.frombuffer(points, [("sample", ">u8"), ("offset", ">u8"), ("count", ">u2")])
+        seek = np.frombuffer(points[: len(points) // 18 * 18], [("sample", ">u8"), ("offset", ">u8"), ("count", ">u2")])
         seek = seek[seek["sample"] != (1 << 64) - 1]
-        self.samples = seek["sample"].astype(np.int64)
+        self.samples, counts = seek["sample"].astype(np.int64), seek["count"].astype(np.int64)
         self.starts = at + seek["offset"].astype(np.int64)
+        if not (int(counts.sum()) == self.total and (self.samples == np.cumsum(counts) - counts).all()):
+            self._find_frames(raw, at)
         self.ends = np.append(self.starts[1:], len(raw))[: len(self.starts)]
-        if int(seek["count"].astype(np.int64).sum()) != self.total:
-            raise FlacError("the seek table doesn't cover the stream")
+
+    def _find_frames(self, raw: bytes, at: int) -> None:
+        """Frames by their sync codes: the next one has the next number and ends a stretch whose CRC-16 is right."""
+        starts, samples, sample = [], [], 0
+        while sample < self.total:
+            n, _, number = _header(raw, at)
+            starts.append(at)
+            samples.append(sample)
+            sample += n
+            if sample >= self.total:
+                break
+            sync, wanted, end = raw[at : at + 2], number + (n if raw[at + 1] & 1 else 1), at
+            while True:
+                end = raw.find(sync, end + 2)
+                if end < 0:
+                    raise FlacError("a frame is missing")
+                try:
+                    follows = _header(raw, end)[2] == wanted
+                except (FlacError, IndexError):
+                    continue
+                if follows and not _crc16_of(raw[at:end]):
+                    break
+            at = end
+        self.starts, self.samples = np.array(starts, np.int64), np.array(samples, np.int64)
+
+
+def _crc16_of(raw: bytes) -> int:
+    c = 0
+    for b in raw:
+        c = (c << 8 & 0xFF00) ^ _CRC16[c >> 8 ^ b]
+    return c
 
 
-def _header(raw: bytes, at: int) -> tuple[int, int]:
-    """(samples, bytes) of the frame header at `at`, its CRC-8 checked."""
-    if raw[at : at + 2] not in (b"\xff\xf8", b"\xff\xf9"):
-        raise FlacError("no frame where the seek table says")
+def _header(raw: bytes, at: int) -> tuple[int, int, int]:
+    """(samples, bytes, coded number) of the frame header at `at`, its CRC-8 checked."""
+    if raw[at : at + 2] not in (b"\xff\xf8", b"\xff\xf9") or at + 6 > len(raw):
+        raise FlacError("no frame where one should be")
     code, rate = raw[at + 2] >> 4, raw[at + 2] & 15
     lead = raw[at + 4]
     more = 0 if lead < 0x80 else 7 - (lead ^ 0xFF).bit_length()
     p = at + 5 + more
+    number = lead & (0x7F if lead < 0x80 else 0x3F >> more)
+    for b in raw[at + 5 : p]:
+        number = number << 6 | b & 0x3F
     if code == 6:
         n, p = raw[p] + 1, p + 1
     elif code == 7:
@@ -300,29 +355,47 @@ def _header(raw: bytes, at: int) -> tuple[int, int]:
     else:
         n = 192 if code == 1 else 576 << (code - 2) if code < 6 else 256 << (code - 8)
     p += {12: 1, 13: 2, 14: 2}.get(rate, 0)
-    if crc8(raw[at:p]) != raw[p]:
+    if p >= len(raw) or crc8(raw[at:p]) != raw[p]:
         raise FlacError("a frame header fails its CRC-8")
-    return n, p + 1 - at
+    return n, p + 1 - at, number
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload of each stream: its samples plus 128 as bytes. All checksums are verified."""
+def _pcm_of(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(samples plus 128 of all streams as bytes, samples of each frame, frames of each stream). All checksums are verified."""
     infos = [_Stream(s) for s in streams]
-    base = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
-    raw = b"".join(streams)
-    starts = np.concatenate([s.starts + b for s, b in zip(infos, base, strict=False)] or [np.zeros(0, np.int64)]).astype(np.int64)
-    ends = np.concatenate([s.ends + b for s, b in zip(infos, base, strict=False)] or [np.zeros(0, np.int64)]).astype(np.int64)
-    x, counts = _decode_frames(raw, starts, ends)
-    out, f, at = [], 0, 0
-    for s in infos:
-        k = len(s.starts)
-        n = int(counts[f : f + k].sum())
-        part = x[at : at + n]
-        if n != s.total or hashlib.md5(part.astype(np.int8).tobytes()).digest() != s.md5:
+    base = np.cumsum([0, *map(len, streams)])
+    raw = b"".join(streams) if len(streams) > 1 else streams[0] if streams else b""
+    none = np.zeros(0, np.int64)
+    starts = np.concatenate([none, *[s.starts + b for s, b in zip(infos, base, strict=False)]])
+    ends = np.concatenate([none, *[s.ends + b for s, b in zip(infos, base, strict=False)]])
+    pcm, counts = [np.zeros(0, np.uint8)], [none]
+    for x, n in _decode_pieces(raw, starts, ends):
+        pcm.append(x)
+        counts.append(n)
+    whole, sizes = np.concatenate(pcm), np.concatenate(counts)
+    frames = np.array([len(s.starts) for s in infos], np.int64)
+    f, at = 0, 0
+    for s, k in zip(infos, frames.tolist(), strict=True):
+        n = int(sizes[f : f + k].sum())
+        if n != s.total or _md5(whole[at : at + n]) != s.md5:
             raise FlacError("a stream fails its MD5")
-        out.append((part + 128).astype(np.uint8).tobytes())
         f, at = f + k, at + n
-    return out
+    return whole, sizes, frames
+
+
+def _decode_pieces(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, samples of each frame) of pieces of frames, DECODED_TOGETHER bytes of media or so at a time."""
+    for lo, hi in row_blocks(np.concatenate([[0], np.cumsum(ends - starts)]), DECODED_TOGETHER):
+        a = int(starts[lo])
+        x, counts = _decode_frames(raw[a : int(ends[hi - 1])], starts[lo:hi] - a, ends[lo:hi] - a)
+        yield (x + 128).astype(np.uint8), counts
+
+
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payload of each stream: its samples plus 128 as bytes. All checksums are verified."""
+    pcm, sizes, frames = _pcm_of(streams)
+    ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(frames)])]
+    return [pcm[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def decode_blocks(stream: bytes, first: int = 0, until: int | None = None) -> Iterator[tuple[int, bytes]]:
@@ -330,12 +403,13 @@ def decode_blocks(stream: bytes, first: int = 0, until: int | None = None) -> It
     s = _Stream(stream)
     until = s.total if until is None else until
     after = np.append(s.samples[1:], s.total)[: len(s.samples)]
-    some = (s.samples < until) & (after > first)
-    x, counts = _decode_frames(stream, s.starts[some], s.ends[some])
-    at = 0
-    for sample, n in zip(s.samples[some].tolist(), counts.tolist(), strict=True):
-        yield sample, (x[at : at + n] + 128).astype(np.uint8).tobytes()
-        at += n
+    some = np.flatnonzero((s.samples < until) & (after > first))
+    offsets = iter(s.samples[some].tolist())
+    for x, counts in _decode_pieces(stream, s.starts[some], s.ends[some]):
+        at = 0
+        for n in counts.tolist():
+            yield next(offsets), x[at : at + n].tobytes()
+            at += n
 
 
 def _decode_frames(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,12 +426,13 @@ def _decode_frames(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     warm: list[list[int]] = [[]] * n_frames
     plain: dict[int, np.ndarray] = {}
     for f, at in enumerate(starts.tolist()):
-        n, head = _header(raw, at)
+        n, head, _ = _header(raw, at)
         counts[f] = n
         p = at + head
         sub = raw[p] >> 1
         if raw[p] & 1:
-            raise FlacError("wasted bits are not read")
+            plain[f] = _frame_alone(raw, p, n)
+            continue
         p += 1
         if sub == 0:
             plain[f] = np.full(n, int.from_bytes(raw[p : p + 1], "big", signed=True), np.int64)
@@ -365,6 +440,8 @@ def _decode_frames(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         if sub == 1:
             plain[f] = np.frombuffer(raw[p : p + n], np.int8).astype(np.int64)
             continue
+        if not (8 <= sub <= 12 or sub >= 32):
+            raise FlacError("a subframe of no known kind")
         kind[f] = 1 if sub < 32 else 2
         o = order[f] = sub & 7 if sub < 32 else (sub & 31) + 1
         warm[f] = np.frombuffer(raw[p : p + o], np.int8).tolist()
@@ -382,19 +459,25 @@ def _decode_frames(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         p, skip = p + skip // 8, skip % 8
         word = int.from_bytes(raw[p : p + 2], "big") << skip & 0xFFFF
         if word >> 14:
-            raise FlacError("only 4-bit Rice parameters are read")
+            kind[f], order[f], warm[f], plain[f] = 0, 0, [], _frame_alone(raw, at + head, n)
+            continue
         parts[f] = word >> 10 & 15
         bit[f] = p * 8 + skip + 6
-    residual = _rice(data, bit, counts, order, parts, kind)
+    residual, escaped = _rice(data, bit, counts, order, parts, kind)
+    for f in escaped:
+        at = int(starts[f])
+        kind[f], order[f], warm[f], plain[f] = 0, 0, [], _frame_alone(raw, at + _header(raw, at)[1], int(counts[f]))
     return _restore(residual, counts, order, kind, warm, coefs, shift, plain), counts
 
 
-def _rice(data: np.ndarray, bit: np.ndarray, counts: np.ndarray, order: np.ndarray, parts: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Residuals of all frames at their samples' places; one residual of every frame a step."""
+def _rice(data: np.ndarray, bit: np.ndarray, counts: np.ndarray, order: np.ndarray, parts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Residuals of all frames at their samples' places, one residual of every frame a step; and the frames that have escaped partitions, which are not read."""
     first = np.cumsum(counts) - counts
     out = np.zeros(int(counts.sum()), np.int64)
-    padded = np.concatenate([data, np.zeros(16, np.uint8)]).astype(np.uint64)
-    n = len(data) + 8
+    # A frame with an escape goes on in the ones behind the data, a bit a residual.
+    padded = np.concatenate([data, np.zeros(8, np.uint8), np.full(_ONES, 255, np.uint8)]).astype(np.uint64)
+    aside, escaped = (len(data) + 8) * 8, []
+    n = len(padded) - 8
     window = np.zeros(n, np.uint64)
     for j in range(8):
         window |= padded[j : j + n] << _U(56 - 8 * j)
@@ -414,12 +497,15 @@ def _rice(data: np.ndarray, bit: np.ndarray, counts: np.ndarray, order: np.ndarr
         while len(new):
             p = pos[new]
             k[new] = ((window[p >> 3] << (p & 7).view(np.uint64)) >> _U(60)).astype(np.int64)
-            if (k[new] == 15).any():
-                raise FlacError("raw partitions are not read")
+            off = new[k[new] == 15]
+            k[off] = 0
             rest[new] = (63 - k[new]).view(np.uint64)
             pos[new] = p + 4
             next_part[new] = upto[new]
             upto[new] += span[new]
+            if len(off):
+                escaped.extend(lanes[off].tolist())
+                pos[off], next_part[off] = aside, -1
             new = new[next_part[new] == i]
         p, kk = pos[:a], k[:a]
         w = window[p >> 3] << (p & 7).view(np.uint64)
@@ -434,7 +520,72 @@ def _rice(data: np.ndarray, bit: np.ndarray, counts: np.ndarray, order: np.ndarr
         p += zeros
         p += kk
         p += 1
-    return (out >> 1) ^ -(out & 1)
+    return (out >> 1) ^ -(out & 1), escaped
+
+
+class _Bits:
+    """Reads a frame's bits one field at a time."""
+
+    def __init__(self, raw: bytes, at: int):
+        self.raw, self.at = raw, at * 8
+
+    def take(self, n: int, signed: bool = False) -> int:
+        end = self.at + n
+        held = self.raw[self.at >> 3 : (end + 7) >> 3]
+        if len(held) * 8 < (self.at & 7) + n:
+            raise FlacError("a frame is cut short")
+        v = int.from_bytes(held, "big") >> (-end & 7) & ((1 << n) - 1)
+        self.at = end
+        return v - (1 << n) if signed and n and v >> (n - 1) else v
+
+    def unary(self) -> int:
+        n = 0
+        while not self.take(1):
+            n += 1
+        return n
+
+
+def _frame_alone(raw: bytes, at: int, n: int) -> np.ndarray:
+    """The samples of one subframe of any kind, which starts at byte `at`."""
+    b = _Bits(raw, at)
+    kind, wasted = b.take(8), 0
+    if kind & 1:
+        wasted = b.unary() + 1
+    kind, width = kind >> 1, 8 - wasted
+    if width < 1:
+        raise FlacError("a subframe without bits")
+    if kind == 0:
+        x = [b.take(width, signed=True)] * n
+    elif kind == 1:
+        x = [b.take(width, signed=True) for _ in range(n)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind & 7 if kind < 32 else (kind & 31) + 1
+        x = [b.take(width, signed=True) for _ in range(order)]
+        shift, coefs = 0, _FIXED[order] if kind < 32 else []
+        if kind >= 32:
+            precision, shift = b.take(4) + 1, b.take(5)
+            coefs = [b.take(precision, signed=True) for _ in range(order)]
+        for e in _residuals_alone(b, n, order):
+            x.append(e + (sum(c * x[-1 - j] for j, c in enumerate(coefs)) >> shift))
+    else:
+        raise FlacError("a subframe of no known kind")
+    return np.array(x, np.int64) << wasted
+
+
+def _residuals_alone(b: _Bits, n: int, order: int) -> Iterator[int]:
+    method = b.take(2)
+    if method > 1:
+        raise FlacError("residuals of no known coding")
+    width, parts = 4 + method, 1 << b.take(4)
+    for part in range(parts):
+        k = b.take(width)
+        raw = b.take(5) if k == (1 << width) - 1 else None
+        for _ in range(n // parts - (0 if part else order)):
+            if raw is None:
+                u = b.unary() << k | b.take(k)
+                yield u >> 1 ^ -(u & 1)
+            else:
+                yield b.take(raw, signed=True)
 
 
 def _zeros_from(data: np.ndarray, bit: int) -> int:
@@ -510,10 +661,19 @@ def encode_payloads(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload").mapInArrow(_encoded, "doc_id long, n_bytes long, media binary")
 
 
-def feature_of(pcm: bytes) -> str:
+def feature_of(pcm: bytes | np.ndarray) -> str:
     """Blocks, sum of sizes of the samples, energy and sign changes, as whole numbers."""
-    x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
-    return f"{-(-len(x) // BLOCK)}:{int(np.abs(x).sum())}:{int((x * x).sum())}:{int(np.count_nonzero(np.diff(x >= 0)))}"
+    raw = np.frombuffer(pcm, np.uint8)
+    size = energy = changes = 0
+    for at in range(0, len(raw), _HASHED):
+        x = raw[max(0, at - 1) : at + _HASHED].astype(np.int64) - 128
+        changes += int(np.count_nonzero(np.diff(x >= 0)))
+        x = x[1:] if at else x
+        size, energy = size + int(np.abs(x).sum()), energy + int((x * x).sum())
+    return f"{-(-len(raw) // BLOCK)}:{size}:{energy}:{changes}"
+
+
+_BLOCKS = pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())]))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -521,30 +681,64 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         media = batch.column(2)
         _, offsets = _buffers(media)
         for lo, hi in row_blocks(offsets, DECODED_TOGETHER):
-            pcm = decode([m.as_py() for m in media.slice(lo, hi - lo)])
-            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(pcm, pa.binary()), pa.array([feature_of(p) for p in pcm])], names=["doc_id", "n_bytes", "media", "payload", "feature"])
+            pcm, sizes, frames = _pcm_of([m.as_py() for m in media.slice(lo, hi - lo)])
+            ends, rows = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(frames)])
+            at = ends[:-1] - np.repeat(ends[rows[:-1]], frames)
+            held = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(pcm)])
+            blocks = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.StructArray.from_arrays([pa.array(at), held], fields=list(_BLOCKS.value_type)))
+            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), blocks], names=["doc_id", "n_bytes", "media", "blocks"])
 
 
-def decode_media(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, n_bytes, media) and payload, feature."""
-    return rows.select("doc_id", "n_bytes", "media").mapInArrow(_decoded, "doc_id long, n_bytes long, media binary, payload binary, feature string")
+def media_blocks(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, n_bytes, media) and blocks: the PCM of each frame with the offset of its first sample."""
+    return rows.select("doc_id", "n_bytes", "media").mapInArrow(_decoded, "doc_id long, n_bytes long, media binary, blocks array<struct<sample_offset: long, pcm: binary>>")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blocks = batch.column(batch.num_columns - 1)
+        pcm = blocks.values.field("pcm")
+        starts = np.frombuffer(pcm.buffers()[1], np.int32)[pcm.offset : pcm.offset + len(pcm) + 1] if len(pcm) else np.zeros(1, np.int32)
+        data = np.frombuffer(pcm.buffers()[2], np.uint8) if len(pcm) and pcm.buffers()[2] else np.zeros(0, np.uint8)
+        at = starts[blocks.offsets.to_numpy()].tolist()
+        found = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        measures = [
+            pa.array([len(x) for x in found], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
+            pa.array([zlib.crc32(x[-64:]) for x in found], pa.int64()),
+            pa.array([feature_of(x) for x in found], pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *measures], names=[*batch.schema.names[:-1], "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+
+
+def measure_blocks(rows: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media_bytes, media_sha256 of rows that also have blocks; payload_bytes, payload_sha256, tail_crc32, feature of these."""
+    return rows.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(
+        _measured, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+    )
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for doc, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = list(decode_blocks(media.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array([s for s, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], names=["doc_id", "sample_offset", "pcm"])
+        pcm = [b"".join(b["pcm"] for b in blocks) for blocks in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(pcm, pa.binary()), pa.array([feature_of(p) for p in pcm], pa.string())], names=["doc_id", "n_bytes", "media", "payload", "feature"])
+
+
+def decode_media(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, n_bytes, media) and payload, feature."""
+    return media_blocks(rows).mapInArrow(_joined, "doc_id long, n_bytes long, media binary, payload binary, feature string")
 
 
 def pcm_blocks(rows: DataFrame) -> DataFrame:
     """doc_id, sample_offset, pcm: a row for each block of samples of rows (doc_id, media)."""
-    return rows.select("doc_id", "media").mapInArrow(_blocks, "doc_id long, sample_offset long, pcm binary")
+    return media_blocks(rows.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), "media")).select("doc_id", F.inline("blocks"))
 
 
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long").alias("n_bytes"), payload(F.col("text")).alias("payload"))
-    back = decode_media(encode_payloads(rows))
-    tail = F.expr("substring(payload, length(payload) - 63, 64)")
-    return back.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+    with scratch(spark) as keep:
+        media = settle(encode_payloads(rows), "flac")
+        stored = media_blocks(media).select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "blocks")
+        blocks = keep(settle(stored, "pcm"))
+    return measure_blocks(blocks).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -86,6 +86,50 @@ def test_subframes_built_by_hand():
     assert flac.decode([by_hand(x, *fields)]) == [plus(x)]
 
 
+def test_foreign_subframes():
+    plus = lambda x: bytes(v + 128 for v in x)
+    x = [i * 5 % 64 - 32 for i in range(16)]
+    fixed = [(8, 0b001001 << 1), (8, x[0])]
+    e = [b - a for a, b in zip(x[:-1], x[1:], strict=True)]
+    assert flac.decode([by_hand(x, *fixed, (2, 1), (4, 0), (5, 3), *[rice(3, v) for v in e])]) == [plus(x)]
+    assert flac.decode([by_hand(x, *fixed, (2, 0), (4, 0), (4, 15), (5, 8), *[(8, v) for v in e])]) == [plus(x)]
+    mixed = [(2, 0), (4, 1), (4, 2), *[rice(2, v) for v in e[:7]], (4, 15), (5, 7), *[(7, v) for v in e[7:]]]
+    assert flac.decode([by_hand(x, *fixed, *mixed)]) == [plus(x)]
+    assert flac.decode([by_hand([7] * 16, (8, 0b001001 << 1), (8, 7), (2, 0), (4, 0), (4, 15), (5, 0))]) == [plus([7] * 16)]
+    wasted = [4 * v for v in range(-8, 8)]
+    assert flac.decode([by_hand(wasted, (8, 0b001001 << 1 | 1), (2, 1), (6, -8), (2, 0), (4, 0), (4, 0), *[rice(0, 1)] * 15)]) == [plus(wasted)]
+    assert flac.decode([by_hand(wasted, (8, 3), (2, 1), *[(6, v // 4) for v in wasted])]) == [plus(wasted)]
+
+
+def without_points(m):
+    info, size = m[4:42], int.from_bytes(m[43:46], "big")
+    return b"fLaC\x80" + info[1:] + m[46 + size :]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(1, 30_000))
+def test_streams_without_seek_table(seed, size):
+    rng = np.random.default_rng(seed)
+    data = rng.choice(np.array([0, 248, 255, 128], np.uint8), size).tobytes()
+    m = without_points(both([data])[0])
+    assert flac.decode([m]) == [data]
+    assert [o for o, _ in flac.decode_blocks(m)] == list(range(0, size, flac.BLOCK))
+
+
+def test_long_payloads_in_bounded_pieces():
+    import tracemalloc
+
+    data = np.frombuffer((b"some long text, %d " * 1_500_000) % tuple(range(1_500_000)), np.uint8)[: 24 << 20]
+    offsets = np.array([0, len(data)])
+    tracemalloc.start()
+    media = flac.encode(data, offsets)
+    assert tracemalloc.get_traced_memory()[1] < 4 * len(data)
+    tracemalloc.reset_peak()
+    assert flac.decode(media) == [data.tobytes()]
+    assert tracemalloc.get_traced_memory()[1] < 4 * len(data) + 128 * flac.DECODED_TOGETHER
+    tracemalloc.stop()
+
+
 def test_crc16_is_that_of_the_format():
     assert int(flac.crc16(np.frombuffer(b"123456789", np.uint8), np.array([0]), np.array([9]))[0]) == 0xFEE8
 
@@ -109,3 +153,29 @@ def test_odd(spark, make, odd_rows):
     assert flac.encode_payloads(rows.withColumn("payload", F.lit(None).cast("binary"))).count() == len(odd_rows)
     assert flac.decode_media(flac.encode_payloads(rows.limit(0))).count() == 0
     assert flac.pcm_blocks(flac.encode_payloads(rows)).where("doc_id = 5").count() == -(-len(odd_rows[6][1].encode()) // flac.BLOCK) 
+
+
+def test_stored_blocks(spark, make, odd_rows):
+    from pyspark.sql import functions as F
+
+    media = flac.encode_payloads(make(odd_rows, clash=True).select("doc_id", F.lit(0).cast("long").alias("n_bytes"), flac.payload(F.col("text")).alias("payload")))
+    rows = flac.media_blocks(media).withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    got = flac.measure_blocks(rows).collect()
+    wanted = []
+    for _, text, *_ in odd_rows:
+        t = (text or "").encode()
+        p = t + bytes(max(64, -(-len(t) // 64) * 64) - len(t))
+        wanted.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), flac.feature_of(p)))
+    assert sorted(tuple(r)[4:] for r in got) == sorted(wanted)
+    assert flac.measure_blocks(rows.limit(0)).count() == 0
+    offsets = flac.pcm_blocks(media).where("doc_id = 5").orderBy("sample_offset").collect()
+    assert b"".join(bytes(r["pcm"]) for r in offsets).rstrip(b"\0") == odd_rows[6][1].encode()
+    assert [r["sample_offset"] for r in offsets] == [i * flac.BLOCK for i in range(len(offsets))]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.binary(max_size=60))
+def test_feature_by_hand(pcm):
+    x = [b - 128 for b in pcm]
+    changes = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:], strict=False))
+    assert flac.feature_of(pcm) == f"{-(-len(x) // flac.BLOCK)}:{sum(map(abs, x))}:{sum(v * v for v in x)}:{changes}"
