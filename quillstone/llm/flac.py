@@ -10,8 +10,8 @@ every frame, frames are found by their sync codes, numbers and checksums. It che
 CRC-16 and the stream's MD5. Rice codes follow one another, so frames are decoded side by side: step i reads the i-th
 residual of every frame of a piece. Frames with escapes, wasted bits or 5-bit parameters are read one at a time.
 
-The query writes the streams as a table, decodes them to a table of PCM blocks with their sample offsets, and derives
-its columns from those blocks.
+The query writes the streams as tables, decodes them to tables of PCM blocks with their sample offsets, and derives its
+columns from those blocks. Streams of text are about as long as the text, so it does so in ROUNDS rounds over all rows.
 
 Edge cases: an empty payload is a stream without frames; damaged or foreign streams fail with FlacError; null payloads
 count as empty; repeated rows are coded each; a very long payload is coded and decoded by pieces of some thousand
@@ -23,13 +23,14 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import scratch, settle, table
+from quillstone.llm.shared import row_keys, scratch, settle, table
 from quillstone.llm.words import row_blocks
 
 BLOCK = 4096
@@ -37,6 +38,7 @@ RATE = 8000
 ENCODED_TOGETHER, DECODED_TOGETHER, _HASHED = 1 << 17, 1 << 22, 1 << 20  # bytes: arrays that fit a cache; as many frames side by side as memory allows
 _ORDER, _PRECISION, _SHIFT = 2, 10, 8
 _MOST_ZEROS = 40
+ROUNDS = 4
 _ONES = (1 << 13) + 16  # bytes: as many bits as a frame can have samples, and some
 _FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]  # the format's fixed predictors
 _U = np.uint64
@@ -734,11 +736,24 @@ def pcm_blocks(rows: DataFrame) -> DataFrame:
     return media_blocks(rows.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), "media")).select("doc_id", F.inline("blocks"))
 
 
+def stored_blocks(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_bytes, media_bytes, media_sha256, blocks of rows (doc_id, n_bytes, payload, _file, _row), as written tables.
+
+    Every stream is written to the shared folder and read back from there. The rounds, which together take every row,
+    bound how much of the streams lies on disk at once: a round's streams go when its blocks are written.
+    """
+    spark, done = rows.sparkSession, []
+    for i in range(rounds):
+        with scratch(spark) as keep:
+            part = rows.where(F.pmod(F.xxhash64("_file", "_row"), F.lit(rounds)) == i)
+            media = settle(encode_payloads(part), "flac")
+            read = media_blocks(media).select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "blocks")
+            done.append(keep(settle(read, "pcm")))
+    return reduce(DataFrame.unionByName, done)
+
+
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long").alias("n_bytes"), payload(F.col("text")).alias("payload"))
-    with scratch(spark) as keep:
-        media = settle(encode_payloads(rows), "flac")
-        stored = media_blocks(media).select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "blocks")
-        blocks = keep(settle(stored, "pcm"))
-    return measure_blocks(blocks).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    docs = row_keys(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), payload(F.col("text")).alias("payload"), "_file", "_row")
+    return measure_blocks(stored_blocks(rows)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -173,6 +173,17 @@ def test_stored_blocks(spark, make, odd_rows):
     assert [r["sample_offset"] for r in offsets] == [i * flac.BLOCK for i in range(len(offsets))]
 
 
+def test_rounds_take_every_row(spark, make, odd_rows):
+    from pyspark.sql import functions as F
+
+    from quillstone.llm.shared import row_keys
+
+    rows = row_keys(make(odd_rows)).select("doc_id", F.lit(0).cast("long").alias("n_bytes"), flac.payload(F.col("text")).alias("payload"), "_file", "_row")
+    one, three = (flac.measure_blocks(flac.stored_blocks(rows, n)).collect() for n in (1, 3))
+    assert sorted(map(str, one)) == sorted(map(str, three)) and len(one) == len(odd_rows)
+    assert flac.measure_blocks(flac.stored_blocks(rows.limit(0), 2)).count() == 0
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.binary(max_size=60))
 def test_feature_by_hand(pcm):
