@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -47,3 +48,48 @@ def test_odd(spark, make, odd_rows):
     assert g.learn(make([])) [0] == [] and g.identify(make([]), ["en"], np.ones((1, g.DIMENSIONS))).count() == 0
     none = g.identify(docs, [], np.zeros((0, g.DIMENSIONS))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
+
+
+def grams(text):
+    """Trigrams of lower-cased letters, by the definition: each run of other characters, and either end, is one boundary."""
+    run = [0]
+    for c in text:
+        code = ord(c.lower()[0]) if c.isalpha() else 0
+        if code or run[-1]:
+            run.append(code)
+    if run[-1]:
+        run.append(0)
+    return Counter(zip(run, run[1:], run[2:], strict=False)) if any(c.isalpha() for c in text) else Counter()
+
+
+def test_query_by_brute_force(spark):
+    """Every row of the query against vectors bound and bundled one trigram at a time."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    letter, bound = g.Vectors().letter, {}
+
+    def vector(text):
+        out = np.zeros(g.DIMENSIONS)
+        for abc, n in grams(text or "").items():
+            if abc not in bound:
+                a, b, c = map(letter, abc)
+                bound[abc] = (np.roll(a, 2) * np.roll(b, 1) * c).astype(np.float64)
+            out += n * bound[abc]
+        return out
+
+    vectors, sums = [vector(r["text"]) for r in rows], {}
+    fold = [zlib.crc32(str(r["doc_id"]).encode()) % 3 for r in rows]
+    for r, v, f in zip(rows, vectors, fold, strict=True):
+        if r["lang"] is not None and f != 1:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + v
+    langs = sorted(sums)
+    got = {r["doc_id"]: r for r in g.op4_language_id(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r, v, f in zip(rows, vectors, fold, strict=True):
+        x = got[r["doc_id"]]
+        cosines = np.array([v @ sums[k] / np.linalg.norm(v) / np.linalg.norm(sums[k]) for k in langs]) if v.any() else None
+        wanted, score = "und", 0.0
+        if cosines is not None:
+            e = np.exp((cosines - cosines.max()) / g.TEMPERATURE)
+            wanted, score = langs[int(cosines.argmax())], float(e.max() / e.sum())
+        assert (x["held_out"], x["lang_pred"]) == (f == 1, wanted) and abs(x["score"] - score) < 1e-4

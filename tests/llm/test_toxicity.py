@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -94,3 +96,49 @@ def test_odd(spark, make, odd_rows, labels):
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     assert t.with_scores(make(odd_rows, clash=True), t.learn(make(odd_rows), known)).where("_score IS NOT NULL").count() == len(odd_rows)
     assert t.keep_clean(make([]), known).count() == 0
+
+
+def by_hand(text, lexicon):
+    """A text's score by the definition: distances to all terms of all words, uses judged one by one."""
+    words = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+    best = {}
+    for i, m in enumerate(words):
+        word = m[0].lower()
+        near = sorted((d, k) for k, term in enumerate(lexicon.terms) if abs(len(term) - len(word)) <= 2 and (d := distance(word, term)) <= t.edits_allowed(term))
+        near = [x for x in near if not x[0] or word not in lexicon.clean]
+        if not near:
+            continue
+        edits, term = near[0]
+        window = words[max(0, i - t.CONTEXT) : i + t.CONTEXT + 1]
+        before, after = text[window[0].start() : m.start()], text[m.end() : window[-1].end()]
+        quoted = any(w[0].lower() in t.SAYING for w in window)
+        for opening, closing in zip(t.OPENING, t.CLOSING, strict=True):
+            opened = False
+            for c in before:
+                opened = not opened if c == opening == closing else c == opening or (opened and c != closing)
+            quoted |= opened and closing in after
+        factor = t.EDIT_FACTOR[edits] * (t.QUOTED if quoted else 1.0)
+        best[term] = max(best.get(term, 0.0), factor)
+    return 1 / (1 + math.exp(-(lexicon.prior + sum(lexicon.odds[k] * f for k, f in best.items()))))
+
+
+def test_query_by_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    lexicon = t.learn(docs.select("doc_id", "text"), labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = t.op6_toxicity(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7)
+        assert abs(r["score"] - by_hand(texts[r["doc_id"]], lexicon)) < 1e-9
+
+
+pieces = st.sampled_from([*TERMS, "idiott", "mor0n", "morron", "mormon", "pathetcaly", "he", "said", "we", "tree", "“", "”", "'", '"', "«", "»", "!", "Scum", "WORTHLES"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(pieces, max_size=30))
+def test_scores_by_brute_force(parts):
+    lexicon = t.Lexicon(TERMS, [4.0, 3.0, 2.5, 5.0, 1.5], frozenset(["mormon"]), -2.0)
+    text = " ".join(parts)
+    assert abs(t.Scorer(lexicon).score(text.encode())[0] - by_hand(text, lexicon)) < 1e-9
