@@ -21,7 +21,7 @@ from quillstone.operators.dataset import IterableDataset, MapDataset
 from quillstone.operators.latest import latest, merge, with_positions
 from quillstone.operators.predicate import And, Eq, Exists, Matches, NotExists, Or, Predicate, field, projection
 from quillstone.plans.registry import query
-from quillstone.plans.tables import table
+from quillstone.plans.tables import shared_folder, table
 from quillstone.store import Root
 
 # Building blocks
@@ -35,20 +35,12 @@ def of(df: DataFrame, id_column: str) -> DataFrame:
 
 def stored(spark: SparkSession, **tables: tuple[DataFrame, str]) -> Root:
     """A root in the shared folder with a collection for each (table, id column)."""
-    root = Root(spark, _folder(spark))
+    root = Root(spark, shared_folder(spark))
     for name, (df, id_column) in tables.items():
         root.collection(name).write(df, id_column)
     return root
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one; only in local mode can that be a temporary folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='quillstone-')).rstrip('/')}/store-{uuid.uuid4().hex}"
-
-
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(table(spark, sf_dir, "customer"), "c_custkey")
 
@@ -375,7 +367,7 @@ def iter_shuffle(spark, sf_dir):
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> qsql.Session:
-    root = Root(spark, _folder(spark), "r")
+    root = Root(spark, shared_folder(spark), "r")
     return qsql.Session(root).register_df("data", table(spark, sf_dir, "orders")).register_df("customers", table(spark, sf_dir, "customer"))
 
 
@@ -561,3 +553,107 @@ def collection_stats(spark, sf_dir):
 @register("id_validation", r"SELECT page_id, regexp_matches(url, '^[\p{L}\p{N}_-][\p{L}\p{N}_.-]*$') AND NOT contains(url, '..') AS valid, regexp_matches(page_id || '.v2', '^[\p{L}\p{N}_-][\p{L}\p{N}_.-]*$') AS named FROM pages")
 def id_validation(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", layout.valid_id(F.col("url")).alias("valid"), layout.valid_id(F.concat("page_id", F.lit(".v2"))).alias("named"))
+
+
+# Sinks, imports and streams
+
+_NATION = "SELECT CAST(n_nationkey AS VARCHAR) AS _id, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
+
+
+def _nations(root: Root, name: str = "nation") -> DataFrame:
+    return root.collection(name).typed().select("_id", "n_name", F.col("n_regionkey").cast("bigint").alias("n_regionkey"))
+
+
+@register("put_lines", _NATION)
+def put_lines(spark, sf_dir):
+    root = stored(spark)
+    lines = table(spark, sf_dir, "nation").select(F.to_json(F.struct(F.col("n_nationkey").cast("string").alias("_id"), "n_name", "n_regionkey")))
+    root.collection("nation").put_lines("\n".join(r[0] for r in lines.collect()))  # 25 rows by definition of the table
+    return _nations(root)
+
+
+@register("collection_mapping", f"SELECT _id, CASE WHEN _id = '3' THEN 'three' ELSE n_name END AS n_name, n_regionkey FROM ({_NATION}) WHERE _id <> '7'")
+def collection_mapping(spark, sf_dir):
+    root = stored(spark, nation=(table(spark, sf_dir, "nation"), "n_nationkey"))
+    nation = root.collection("nation")
+    nation["3"] = {**nation["3"], "n_name": "three"}
+    del nation["7"]
+    nation.flush()
+    return _nations(root)
+
+
+@register("arrow_sink", _NATION)
+def arrow_sink(spark, sf_dir):
+    from quillstone import interop
+
+    root = stored(spark)
+    interop.write_arrow(root, table(spark, sf_dir, "nation").toArrow(), "nation", "n_nationkey")
+    return _nations(root)
+
+
+@register("pandas_sink", _NATION)
+def pandas_sink(spark, sf_dir):
+    from quillstone import interop
+
+    root = stored(spark)
+    interop.write_pandas(root, table(spark, sf_dir, "nation").toPandas(), "nation", "n_nationkey")
+    return spark.createDataFrame(interop.read_pandas(root, "nation", ["_id", "n_name", "n_regionkey"]))
+
+
+@register("table_copy", "SELECT CAST(c_custkey AS VARCHAR) AS _id, c_name FROM customer WHERE c_nationkey < 5")
+def table_copy(spark, sf_dir):
+    root, view = stored(spark), f"customer_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "customer").createOrReplaceTempView(view)
+    try:
+        qsql.copy_to(root, f"SELECT * FROM {view} WHERE c_nationkey < 5", "customer", "c_custkey")
+    finally:
+        spark.catalog.dropTempView(view)
+    return root.collection("customer").documents().select("_id", _name())
+
+
+@register("csv_export_import", "SELECT CAST(s_suppkey AS VARCHAR) AS _id, s_name, s_acctbal FROM supplier")
+def csv_export_import(spark, sf_dir):
+    from quillstone import interop
+
+    root, path = stored(spark, supplier=(table(spark, sf_dir, "supplier"), "s_suppkey")), shared_folder(spark)
+    interop.export_table(root.collection("supplier"), path, "csv")
+    rows = spark.read.csv(path, header=True, schema=root.collection("supplier").typed(json_strings=True).schema)
+    interop.import_table(root, rows, "again", "_id")
+    return root.collection("again").typed().select("_id", "s_name", "s_acctbal")
+
+
+@register("json_export_import", _NATION)
+def json_export_import(spark, sf_dir):
+    from quillstone import interop
+
+    root, path = stored(spark, nation=(table(spark, sf_dir, "nation"), "n_nationkey")), f"{shared_folder(spark)}.json"
+    interop.export_json(root.collection("nation"), path)
+    interop.import_json(root, path, "again")
+    return _nations(root, "again")
+
+
+@register("stream_sink", _NATION)
+def stream_sink(spark, sf_dir):
+    from quillstone.streaming.collections import write_stream
+
+    nation, root = table(spark, sf_dir, "nation"), stored(spark)
+    stream = spark.readStream.schema(nation.schema).parquet(f"{sf_dir.rstrip('/')}/nation.parque[t]")
+    running = write_stream(stream, root.collection("nation"), "n_nationkey", shared_folder(spark))
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return _nations(root)
+
+
+@register("stream_changes", "SELECT CAST(n_nationkey AS VARCHAR) AS _id, 'put' AS _kind, n_name FROM nation UNION ALL SELECT '7', 'delete', NULL")
+def stream_changes(spark, sf_dir):
+    from quillstone.streaming.collections import read_changes
+
+    nation = stored(spark, nation=(table(spark, sf_dir, "nation"), "n_nationkey")).collection("nation")
+    nation.delete("7")
+    nation.flush()
+    changes = read_changes(nation).select("_id", "_kind", field("n_name", "string").alias("n_name"))
+    path = shared_folder(spark)
+    changes.writeStream.format("parquet").option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(changes.schema).parquet(path)

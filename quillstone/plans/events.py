@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.plans.registry import both, query
-from quillstone.plans.tables import table
+from quillstone.plans.tables import shared_folder, table
 from quillstone.streaming.windows import session_totals, sliding_counts, tumbling_counts
 
 both("event_type_counts", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM {events} GROUP BY event_type", "events")
@@ -47,3 +47,18 @@ def win_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
     return counts.select("label", "n", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
+
+
+@query("stream_tumbling", "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily counts of a stream of the event files; each window's last update is kept."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
+    counts, path = tumbling_counts(stream, "1 day"), shared_folder(spark)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:06d}")
+
+    counts.writeStream.outputMode("update").option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    updates = spark.read.parquet(path)
+    return updates.groupBy("start", "event_type").agg(F.max_by("n", "_batch").alias("n"))
