@@ -1,15 +1,15 @@
 """Near duplicates: improved consistent weighted sampling over TF-IDF word shingles, banded, then verified.
 
 Words are runs of letters and digits, lower-cased in ASCII; a shingle is five consecutive words (all of them in a text
-of fewer). Its weight is its count in the text times idf = ln(1 + N / max(df, N / 20)), over N distinct texts. The idf is
-flat for shingles in up to a twentieth of them, so near copies don't become less alike as their group grows, while
-wide-spread boilerplate counts less. Document frequencies above N / 20 are exact: such a shingle is above that share in some block of texts, so
-the blocks name the candidates (a bounded number each) and a second pass counts those alone.
+of fewer). Its weight is its count in the text times idf = ln(1 + N / df), over N distinct texts. The document frequency
+df of every shingle is counted exactly: blocks of texts send their shingles to ranges of hashes, a range adds up what it
+gets and answers each block with those that are in more than one text.
 
 Each text draws SAMPLES consistent samples (Ioffe's ICWS: two texts agree on a draw with the probability of their
 weighted Jaccard similarity). Every band joins three draws; texts that share a band meet in its bucket. A bucket
-proposes its members to two leaders each, never all pairs; a pair counts only if its exact weighted Jaccard similarity
-is LEAST or more. Then buckets whose members ended up in several classes propose the classes' representatives to one
+proposes its members to two leaders each, never all pairs. A pair counts only if an exact check follows: its weighted
+Jaccard similarity is LEAST or more. In that check alone the idf is ln(1 + N / max(df, N / 20)), so near copies don't
+become less alike as their group grows, while wide-spread boilerplate counts less. Then buckets whose members ended up in several classes propose the classes' representatives to one
 another, until no untested pair is proposed. Classes are the connected components.
 
 Members of buckets that still hold several classes are unsettled. They are joined exactly: with the shingles of each
@@ -40,13 +40,16 @@ from quillstone.llm.words import LETTERED, U, hash_words, mix, row_blocks, shing
 SHINGLE = 5
 LEAST = 0.8
 SAMPLES = 24
-COMMON = 20  # idf is flat for shingles in up to one of so many texts
-_BLOCK_TEXTS = 1000
+COMMON = 20  # in the check, idf is flat for shingles in up to one of so many texts
+_RANGES, _RANGE, _WORD_BYTES = 128, 1 << 22, 6  # at least so many ranges; shingles of texts that one gets; about so many bytes of text make one
+_BLOCKS = 8  # of the texts that one task has written
+_HELD = 1 << 21
 _TABLE = 1 << 16
 _SLOTS = 1 << 20  # counters that rank shingles by how many unsettled texts hold them
 _EARLIER = 16
 _CELLS, _SHIFT = 128, 45  # cells of the shingles' hashes, by their highest bits, and
 _WHOLE = 32_000  # the parts that a text's weight has in all cells
+_WORDED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # a byte that LETTERED keeps
 _SLACK = 1 - 1e-6  # for rounding in sums of weights
 _SPREAD = (0, 1, 5)  # draws of band i: i + each, modulo SAMPLES; their differences differ, so two bands share one draw at most
 
@@ -84,48 +87,83 @@ def text_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
             yield lo + a, min(4096, hi - lo - a), (packed >> U(52)).astype(np.int64), packed & U((1 << 52) - 1), count
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles in over a share of 1 / COMMON of the texts of some block; and the number of texts with words (shingle -1)."""
-    held: list[np.ndarray] = []
-    texts = total = 0
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit numbers with their lowest bytes first, then the next ones: those that are mostly 0 take next to no room once compressed."""
+    return np.ascontiguousarray(values.astype(np.uint64)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    def flush() -> pa.RecordBatch:
-        found, counts = np.unique(np.concatenate(held), return_counts=True)
-        keep = found[counts * COMMON > texts]
-        return pa.RecordBatch.from_pydict({"shingle": pa.array(keep.astype(np.int64)), "texts": pa.array(np.zeros(len(keep), np.int64))})
 
-    for batch in batches:
-        for _, _, row, sh, _ in text_sets(batch.column(0)):
-            if len(held) and texts >= _BLOCK_TEXTS and sum(map(len, held)) + len(sh) > 1 << 21:
-                yield flush()
-                held, texts = [], 0
-            held.append(sh)
-            n = len(np.unique(row))
-            texts, total = texts + n, total + n
-    if texts:
-        yield flush()
-    yield pa.RecordBatch.from_pydict({"shingle": pa.array([-1], pa.int64()), "texts": pa.array([total], pa.int64())})
-
-
-def _counter(candidates: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(candidates), np.int64)
-        for batch in batches:
-            for _, _, _, sh, _ in text_sets(batch.column(0)):
-                at = np.minimum(np.searchsorted(candidates, sh), len(candidates) - 1)
-                sums += np.bincount(at[candidates[at] == sh], minlength=len(candidates))
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_pydict({"shingle": pa.array(candidates[some].astype(np.int64)), "texts": pa.array(sums[some])})
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+
+
+def _gaps(sh: np.ndarray) -> bytes:
+    return _packed(np.diff(sh, prepend=np.zeros(1, np.uint64)))
 
-    return count
+
+def _asker(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (block, text): for each block and range of hashes, its shingles and how many of the block's texts hold each. A block may ask in several rows."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        n = 0
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            for block, parts in held.items():
+                sh, texts = np.unique(np.concatenate(parts), return_counts=True)
+                ends = np.searchsorted((sh >> U(20)) * U(ranges) >> U(32), np.arange(ranges + 1, dtype=np.uint64))
+                some = np.flatnonzero(np.diff(ends))
+                cuts = [slice(ends[r], ends[r + 1]) for r in some]
+                yield pa.RecordBatch.from_pydict({"range": pa.array(some), "block": pa.array(np.full(len(some), block, np.int64)), "shingles": pa.array([_gaps(sh[c]) for c in cuts], pa.binary()), "texts": pa.array([_packed(texts[c]) for c in cuts], pa.binary())})
+
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            for first, _, row, sh, _ in text_sets(batch.column(1)):
+                of = blocks[first + row]
+                for block in np.unique(of).tolist():
+                    held.setdefault(block, []).append(sh[of == block])
+                n += len(sh)
+                if n > _HELD:
+                    yield from asked()
+                    held, n = {}, 0
+        yield from asked()
+
+    return ask
+
+
+def _adder(texts: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one range: for each row of a block, those of its shingles that several texts hold and how many do; as block -1, those in over a share of 1 / COMMON of all texts."""
+
+    def add(asked: pa.Table) -> pa.Table:
+        each = [np.cumsum(_unpacked(x.as_py()), dtype=np.uint64) for x in asked.column("shingles")]
+        sh, n = np.concatenate(each), np.concatenate([_unpacked(x.as_py()) for x in asked.column("texts")])
+        order = np.argsort(sh, kind="stable")
+        starts = np.flatnonzero(np.diff(sh[order], prepend=~sh[order[:1]]))
+        total = np.add.reduceat(n[order], starts)
+        df = np.empty(len(sh), np.uint64)
+        df[order] = np.repeat(total, np.diff(starts, append=len(sh)))
+        ends = np.cumsum([len(x) for x in each])
+        told = [(b, e - len(x) + np.flatnonzero(df[e - len(x) : e] > 1)) for b, e, x in zip(asked.column("block").to_pylist(), ends, each, strict=True)]
+        told.append((-1, order[starts[total * U(COMMON) > texts]]))
+        told = [(b, at) for b, at in told if len(at)]
+        return pa.table({"block": pa.array([b for b, _ in told], pa.int64()), "shingles": pa.array([_gaps(sh[at]) for _, at in told], pa.binary()), "df": pa.array([_packed(df[at]) for _, at in told], pa.binary())})
+
+    return add
+
+
+def _listed(shingles: list[bytes], df: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in order, each once, and their document frequencies."""
+    if not shingles:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sh, at = np.unique(np.concatenate([np.cumsum(_unpacked(x), dtype=np.uint64) for x in shingles]), return_index=True)
+    return sh, np.concatenate([_unpacked(x) for x in df])[at].astype(np.int64)
 
 
 class Idf:
-    """idf of shingles; `common` lists those above the flat part, at most COMMON times the mean shingles of a text."""
+    """idf of shingles by their document frequencies; of those not in `common` it is ln(1 + rest)."""
 
-    def __init__(self, texts: int, common: np.ndarray, frequency: np.ndarray):
+    def __init__(self, texts: int, common: np.ndarray, frequency: np.ndarray, rest: float = COMMON):
         self.common = common
-        self.flat = np.float32(np.log(1 + COMMON))
+        self.flat = np.float32(np.log1p(rest))
         self.values = np.log1p(max(texts, 1) / np.maximum(frequency, 1)).astype(np.float32)
 
     def weights(self, sh: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -137,16 +175,17 @@ class Idf:
         return out * count.astype(np.float32)
 
 
-def document_frequencies(texts: DataFrame) -> Idf:
-    """The idf of a table with one column, text."""
-    named = texts.mapInArrow(_frequent, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts")).collect()
-    total = sum(r["texts"] for r in named if r["shingle"] < 0)
-    candidates = np.array(sorted(r["shingle"] for r in named if r["shingle"] >= 0), np.uint64)
-    if not len(candidates):
-        return Idf(total, candidates, np.zeros(0, np.int64))
-    counted = texts.mapInArrow(_counter(candidates), "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") * COMMON > total).collect()
-    counted = sorted((r["shingle"], r["texts"]) for r in counted)
-    return Idf(total, np.array([s for s, _ in counted], np.uint64), np.array([n for _, n in counted], np.int64))
+def document_frequencies(texts: DataFrame) -> tuple[int, DataFrame, Idf]:
+    """Of a table (block, text) of distinct texts: the number of those with words; (block, shingles, df) of the shingles of each block that are in several texts, packed; the idf of the check.
+
+    The last lists at most COMMON times the mean number of shingles of a text.
+    """
+    known = texts.agg(F.sum(F.col("text").rlike(_WORDED).cast("long")).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n, ranges = known["n"] or 0, max(_RANGES, (known["bytes"] or 0) // _WORD_BYTES // _RANGE)
+    asked = texts.select("block", "text").mapInArrow(_asker(ranges), "range long, block long, shingles binary, texts binary")
+    told = settle(asked.groupBy("range").applyInArrow(_adder(n), "block long, shingles binary, df binary"), "near-frequencies")
+    common = told.where("block < 0").collect()
+    return n, told.where("block >= 0"), Idf(n, *_listed([r["shingles"] for r in common], [r["df"] for r in common]))
 
 
 def draws(row_starts: np.ndarray, sh: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -182,17 +221,19 @@ def bands(d: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signer(idf: Idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys: list[np.ndarray | None] = [None] * batch.num_rows
-            for first, _, row, sh, count in text_sets(batch.column(1)):
-                if not len(row):
-                    continue
-                starts = np.flatnonzero(np.diff(row, prepend=-1))
-                for r, k in zip((first + row[starts]).tolist(), bands(draws(starts, sh, idf.weights(sh, count))), strict=True):
-                    keys[r] = k
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "bands"])
+def _signer(texts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of the texts of a block and the document frequencies of its shingles: (node, bands)."""
+
+    def sign(block: pa.Table, told: pa.Table) -> pa.Table:
+        idf = Idf(texts, *_listed(told.column("shingles").to_pylist(), told.column("df").to_pylist()), rest=texts)
+        keys: list[np.ndarray | None] = [None] * block.num_rows
+        for first, _, row, sh, count in text_sets(block.column("text")):
+            if not len(row):
+                continue
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            for r, k in zip((first + row[starts]).tolist(), bands(draws(starts, sh, idf.weights(sh, count))), strict=True):
+                keys[r] = k
+        return pa.table({"node": block.column("node"), "bands": pa.array(keys, pa.list_(pa.int64()))})
 
     return sign
 
@@ -306,9 +347,10 @@ def node_of(text: Column) -> Column:
 def classes(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """(signed: node, bands; labels: node, label). A node stands for all rows of one text; nodes without a label are alone, those without bands have no words."""
     with scratch(docs.sparkSession) as keep:
-        distinct = settle(docs.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text")).groupBy("node").agg(F.min("text").alias("text")), "near-distinct")
-        idf = document_frequencies(distinct.select("text"))
-        signed = keep(settle(distinct.mapInArrow(_signer(idf), "node binary, bands array<long>"), "near-signed"))
+        distinct = settle(docs.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text")).groupBy("node").agg(F.min("text").alias("text")).withColumn("block", F.spark_partition_id() * _BLOCKS + F.pmod(F.xxhash64("node"), F.lit(_BLOCKS))), "near-distinct")
+        total, told, idf = document_frequencies(distinct)
+        signed = keep(settle(distinct.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_signer(total), "node binary, bands array<long>"), "near-signed"))
+        distinct = distinct.drop("block")
         entries = signed.where("bands IS NOT NULL").select("node", F.posexplode("bands").alias("band", "key"))
         met = settle(entries.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high"), "near-buckets")
         inside = keep(settle(entries.join(met, ["band", "key"]), "near-entries"))

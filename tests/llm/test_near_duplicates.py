@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -112,6 +113,27 @@ def test_draws_agree_as_similarity_says():
     assert abs(agree - total) / 150 < 0.03
 
 
+def test_texts_are_drawn_by_true_document_frequencies(make):
+    texts = [*corpus(5, 60), None, "", "!!!"]
+    held = {}
+    for t in {t or "" for t in texts}:
+        for _, _, _, sh, count in n.text_sets(pa.array([t])):
+            held[t] = sh, count
+    held = {t: x for t, x in held.items() if len(x[0])}
+    df = Counter(g for sh, _ in held.values() for g in sh.tolist())
+    assert len({c for c in df.values() if c * n.COMMON < len(held)}) > 2
+    signed, _ = n.classes(make(texts))
+    got = {bytes(r["node"]): r["bands"] for r in signed.collect()}
+    assert len(got) == len({t or "" for t in texts})
+    for t in {t or "" for t in texts}:
+        wanted = None
+        if t in held:
+            sh, count = held[t]
+            weight = np.log1p(len(held) / np.array([df[g] for g in sh.tolist()])).astype(np.float32) * count.astype(np.float32)
+            wanted = n.bands(n.draws(np.array([0]), sh, weight))[0].tolist()
+        assert got[hashlib.md5(t.encode()).digest()] == wanted
+
+
 def test_similarities():
     left, right = ["a b c d e f g", "x", "", "a b c d e f"], ["a b c d e f g", "y", "x", "a b c d e g"]
     idf = n.Idf(10, np.zeros(0, np.uint64), np.zeros(0, np.int64))
