@@ -378,7 +378,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame
         if not found.where("near").limit(1).count():
             break
         labels = extended(labels, found.where("near"))
-    unsettled = settle(split.join(across, ["band", "key"], "left_semi").select("node", "label").distinct().join(texts, "node"), "near-unsettled")
+    unsettled = settle(to_rows(split, across.select("band", "key"), ["band", "key"], F.xxhash64("node")).select("node", "label").distinct().join(texts, "node"), "near-unsettled")
     rest = settle(_possible(unsettled, idf, least).join(done.select("a", "b"), ["a", "b"], "left_anti"), "near-fresh")
     found = tested(rest)
     if not found.where("near").limit(1).count():

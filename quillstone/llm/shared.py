@@ -104,16 +104,17 @@ def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def to_rows(rows: DataFrame, values: DataFrame, key: str, part: Column | None = None, parts: int = 64) -> DataFrame:
-    """rows and the columns of values (one row a key), for rows whose key has values.
+def to_rows(rows: DataFrame, values: DataFrame, key: str | list[str], part: Column | None = None, parts: int = 64) -> DataFrame:
+    """rows and the columns of values (one row a key, of one column or several), for rows whose key has values.
 
     Rows are dealt to parts by `part` (by the _file and _row of row_keys(), which then go, if not given); each part of a
     key gets the key's values first, so a key that holds most rows is met by many tasks.
     """
     by = F.xxhash64("_file", "_row") if part is None else part
     dealt = rows.withColumn("_part", F.pmod(by, F.lit(parts)).cast("int"))
-    met = dealt.select(key, "_part").distinct().join(values, key)
-    return dealt.join(met, [key, "_part"]).drop("_part", *(["_file", "_row"] if part is None else []))
+    keys = [key] if isinstance(key, str) else key
+    met = dealt.select(*keys, "_part").distinct().join(values, keys)
+    return dealt.join(met, [*keys, "_part"]).drop("_part", *(["_file", "_row"] if part is None else []))
 
 
 def fresh(columns: list[str], *names: str) -> tuple[str, ...]:
